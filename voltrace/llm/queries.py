@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sentencepiece_bpe
+from . import language_id, sentencepiece_bpe, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,33 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of what remains of every document without passages that a smaller id also has."""
+    got = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, w, p, array_to_string(w[p:p+12], ' ') AS seq
+  FROM d, unnest(generate_series(1, len(w) - 12)) AS t(p) WHERE len(w) >= 13
+), least AS (
+  SELECT seq, min(doc_id) AS doc FROM win GROUP BY seq HAVING count(DISTINCT doc_id) > 1
+), gone AS (
+  SELECT DISTINCT win.doc_id, q FROM win JOIN least ON win.seq = least.seq AND win.doc_id > least.doc, unnest(generate_series(p, p + 12)) AS t(q)
+), words AS (
+  SELECT d.doc_id, q, w[q] AS word FROM d, unnest(generate_series(1, len(w))) AS t(q)
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.q) AS text, count(*) AS n
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.q = gone.q WHERE gone.q IS NULL GROUP BY words.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     got = sentencepiece_bpe.encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), default_tokenizer())
@@ -43,7 +70,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": OP5_SQL,
+}

@@ -6,7 +6,7 @@ document with a smaller id; every word that a repeat covers is removed.
 
 1. Each partition sketches its window identities; the merged count-min sketch
    overestimates their counts, so no repeat is lost (``sketch``).
-2. Only windows estimated to occur twice are shuffled, by a 128-bit identity,
+2. Only windows estimated to occur twice are shuffled, by a 96-bit identity,
    and grouped exactly. Before that each partition keeps, of equal windows,
    the one of the smallest document: the others are repeats already, so a
    window of any number of documents reaches its group as a few rows, and runs
@@ -50,25 +50,19 @@ def _candidates(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
     fresh = new.copy()
     fresh[1:] |= row[1:] != row[:-1]  # of equal windows of one row the first stands for all
-    open_ = fresh & (doc == least)
+    open_ = np.sort(order[fresh & (doc == least)])
     sure = np.flatnonzero(fresh & (doc > least))
     sure = sure[np.lexsort((pos[sure], row[sure]))]
     s_row, s_pos = row[sure], pos[sure]
     head = np.flatnonzero(np.concatenate(([True], (s_row[1:] != s_row[:-1]) | (s_pos[1:] != s_pos[:-1] + 1)))) if len(sure) else np.zeros(0, np.int64)
     run = np.diff(np.append(head, len(sure)))
-    top = sure[head]
-    return pa.RecordBatch.from_arrays(
-        [
-            as_long(np.concatenate((h1[open_], mix(key[top].view(np.uint64) + pos[top].astype(np.uint64))))),
-            as_long(np.concatenate((h2[open_], np.zeros(len(top), np.uint64)))),
-            pa.array(np.concatenate((doc[open_], doc[top])), pa.int64()),
-            pa.array(np.concatenate((key[open_], key[top])), pa.int64()),
-            pa.array(np.concatenate((pos[open_], pos[top])), pa.int32()),
-            pa.array(np.concatenate((np.ones(int(open_.sum()), np.int64), run)), pa.int32()),
-            pa.array(np.concatenate((np.zeros(int(open_.sum()), bool), np.ones(len(top), bool)))),
-        ],
-        ["h1", "h2", "doc", "key", "pos", "run", "sure"],
-    )
+    top = order[sure[head]]
+    # back in scan order, where all but the identities repeats from row to row and compresses away
+    h1, h2, doc, key, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    both = np.concatenate((open_, top))
+    names = np.concatenate((h1[open_], mix(key[top].view(np.uint64) + pos[top].astype(np.uint64))))
+    tail = np.concatenate((h2[open_] >> np.uint64(32), np.zeros(len(top), np.uint64))) << np.uint64(32) | pos[both].astype(np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(doc[both], pa.int64()), pa.array(key[both], pa.int64()), pa.array(np.concatenate((np.zeros(len(open_), np.int64), run)), pa.int64()), as_long(names), as_long(tail)], ["doc", "key", "run", "h1", "tail"])
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -108,16 +102,18 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id
             yield _candidates(parts)
 
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias(text))
-    found = source.mapInArrow(flag, "h1 long, h2 long, doc long, key long, pos int, run int, sure boolean")
-    least = F.min("doc").over(Window.partitionBy("h1", "h2"))
-    repeats = found.withColumn("least", least).where(F.col("sure") | (F.col("doc") > F.col("least")))
-    spans = repeats.groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("pos", "run"))).alias("__spans"))
+    # run 0: a window to be grouped, by 96 bits (h1 and the upper half of tail, whose lower half is the position)
+    found = source.mapInArrow(flag, "doc long, key long, run long, h1 long, tail long").repartition("h1")
+    least = F.min("doc").over(Window.partitionBy("h1", F.shiftright("tail", 32)))
+    repeats = found.withColumn("least", least).where((F.col("run") > 0) | (F.col("doc") > F.col("least")))
+    span = F.shiftleft(F.col("tail").bitwiseAND(F.lit((1 << 32) - 1)), 32).bitwiseOR(F.greatest(F.col("run"), F.lit(1)))
+    spans = repeats.select("doc", "key", span.alias("span")).groupBy("doc", "key").agg(F.collect_list("span").alias("__spans"))
 
     names = ("n_words", "n_removed", "kept")
     rest = [c for c in docs.columns if c not in (text, *names)]
     whole = docs.select(*rest, F.col(text).alias("__text"), F.xxhash64(text).alias(_KEY))
     joined = whole.join(spans, (whole[doc_id].cast("long") == spans["doc"]) & (whole[_KEY] == spans["key"]), "left")
-    joined = joined.select(*(whole[c] for c in rest), "__text", F.col("__spans.pos").alias("__pos"), F.col("__spans.run").alias("__run"))
+    joined = joined.select(*(whole[c] for c in rest), "__text", "__spans")
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("kept", T.StringType(), False)])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +142,14 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id
 
 
 def covered(piece: pa.RecordBatch, w, size: int) -> np.ndarray:
-    """Words of a chunk that a repeat covers, from the runs of repeated windows in ``__pos`` and ``__run``."""
-    pos, run = (piece.column(piece.schema.get_field_index(c)) for c in ("__pos", "__run"))
-    counts = np.array(pa.compute.fill_null(pa.compute.list_value_length(pos), 0))
+    """Words of a chunk that a repeat covers, from the runs of repeated windows in ``__spans`` (position and length)."""
+    spans = piece.column(piece.schema.get_field_index("__spans"))
+    counts = np.array(pa.compute.fill_null(pa.compute.list_value_length(spans), 0))
     gone = np.zeros(len(w.hash) + 1, np.int64)
     if counts.sum():
         doc = np.repeat(np.arange(len(counts)), counts)
-        at, length = (np.array(x.flatten(), np.int64) for x in (pos, run))
+        packed = np.array(spans.flatten(), np.int64)
+        at, length = packed >> 32, packed & 0xFFFFFFFF
         doc = np.repeat(doc, length)
         at = np.repeat(at, length) + np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
         marked = w.first[doc] + at

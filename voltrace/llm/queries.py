@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, sentencepiece_bpe, substring_dedup
+from . import decontaminate, jaccard_join, language_id, quality, sentencepiece_bpe, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,15 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels whose crc32 remainder by 4 isn't 2."""
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    held_out = F.coalesce(language_id.remainder("doc_id", 4) == 2, F.lit(False))
+    model = quality.fit(docs, labels.where(~held_out))
+    got = quality.score(docs, model)
+    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32 remainder by 5 isn't 0."""
     docs = _read(spark, sf_dir, "documents")
@@ -79,6 +88,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_decontaminate": op7_decontaminate,

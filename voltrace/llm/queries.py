@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, quality, sentencepiece_bpe, substring_dedup
+from . import decontaminate, jaccard_join, language_id, pii, quality, sentencepiece_bpe, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,6 +87,21 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _is_kind(k: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == k
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the personal data in every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    got = pii.find(docs, pii.fit(docs)).select("doc_id", "base", "spans")
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    names = F.array(*(F.lit(n) for n in pii.KINDS))
+    base = F.array_join(F.transform("base", lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return got.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_language_id": op4_language_id,
@@ -94,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {

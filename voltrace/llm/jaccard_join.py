@@ -16,12 +16,13 @@ and the least id of its connected component.
    documents, are indexed by prefix shingle; group pairs pass a size filter
    and a positional filter, then expand to their members, which are verified
    on their real sets.
-4. Links are only needed as far as they connect. In a first round every group
-   is held against one pivot per shingle, and the rest of a group against its
-   first member; verified links give components. In the second round only
-   pairs across components remain: the classes of each shingle outside its
-   largest component are held against all others. After that no pair that
-   could link is untested, and no similarity group was expanded to all pairs.
+4. Links are only needed as far as they connect. In ``PIVOT_ROUNDS`` rounds
+   every class is held against one pivot, which it shares most shingles with;
+   verified links give components, and classes of the pivot's component are
+   left out of the next round. Then all pairs across components remain: the
+   classes of each shingle outside its largest component are held against all
+   others. After that no pair that could link is untested, and no similarity
+   group was expanded to all its pairs.
 
 Edge cases: null or empty texts have no set, link with nothing and are their
 own component; rows with a null id get their size, link with nothing and have
@@ -45,6 +46,8 @@ SIZE = 5
 PERCENT = 80
 #: Cells of the frequency sketch; it orders shingles and needs no precision.
 FREQ_CELLS = 1 << 20
+#: Rounds in which classes are held against pivots only.
+PIVOT_ROUNDS = 3
 _U = np.uint64
 
 
@@ -129,10 +132,10 @@ def _frequencies(profiles: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, bits, level, size: int, percent: int) -> DataFrame:
-    """(gid, s1, n, tok, pos): a row without ``tok`` for each document, and the indexed prefix shingles of its group."""
+    """(gid, s1, n, tok, pos, w): a row without ``tok`` for each document, and the indexed prefix shingles of its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gid", "s1", "n", "tok", "pos"]
+        names = ["gid", "s1", "n", "tok", "pos", "w"]
         seen: set[int] = set()
         for batch in batches:
             for _, data, off in chunks(batch):
@@ -146,7 +149,7 @@ def _index(docs: DataFrame, bits, level, size: int, percent: int) -> DataFrame:
                 # one number orders: repeated or not, estimated frequency, hash
                 rank = ((again.astype(np.uint64) << _U(63)) | (level.value[(flat >> _U(40)).astype(np.int64) & (FREQ_CELLS - 1)].astype(np.uint64) << _U(54))) | (flat >> _U(10))
                 gids = np.zeros(len(full), np.uint64)
-                toks, own, poss = [], [], []
+                toks, own, poss, ws = [], [], [], []
                 for j, k in enumerate(full):
                     a, b = at[k], at[k + 1]
                     p = int(prefix_length(np.int64(b - a), percent))
@@ -162,13 +165,14 @@ def _index(docs: DataFrame, bits, level, size: int, percent: int) -> DataFrame:
                         toks.append(chosen[shared])
                         poss.append(shared)
                         own.append(np.full(len(shared), j))
-                yield pa.RecordBatch.from_arrays([as_long(gids), as_long(s1[full]), pa.array(n[full], pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int32())], names)
-                tok, j, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (toks, own, poss))
+                        ws.append(np.full(len(shared), 1000 * len(shared) // p))
+                yield pa.RecordBatch.from_arrays([as_long(gids), as_long(s1[full]), pa.array(n[full], pa.int64()), pa.nulls(len(full), pa.int64()), *(pa.nulls(len(full), pa.int32()),) * 2], names)
+                tok, j, pos, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (toks, own, poss, ws))
                 if len(tok):
                     j = j.astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([as_long(gids[j]), pa.nulls(len(j), pa.int64()), pa.array(n[full][j], pa.int64()), as_long(tok.astype(np.uint64)), pa.array(pos, pa.int32())], names)
+                    yield pa.RecordBatch.from_arrays([as_long(gids[j]), pa.nulls(len(j), pa.int64()), pa.array(n[full][j], pa.int64()), as_long(tok.astype(np.uint64)), pa.array(pos, pa.int32()), pa.array(w, pa.int32())], names)
 
-    return docs.select("text").mapInArrow(run, "gid long, s1 long, n long, tok long, pos int")
+    return docs.select("text").mapInArrow(run, "gid long, s1 long, n long, tok long, pos int, w int")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -231,40 +235,48 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, t
 
     index = durable(_index(named, bits, level, size, percent))
     members = durable(index.where("tok IS NULL").select("gid", "s1", "n").distinct())
-    groups = members.groupBy("gid").agg(F.min("s1").alias("head"), F.first("n").alias("n"), F.count("*").alias("size"))
-    entries = index.where("tok IS NOT NULL").groupBy("tok", "gid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
-    shared = entries.groupBy("tok").agg(F.count("*").alias("docs"), F.min(F.struct("gid", "n", "pos")).alias("pivot")).where("docs > 1")
-    entries = durable(entries.join(shared, "tok").select("tok", "gid", "n", "pos", "pivot"))
+    groups = members.groupBy("gid").agg(F.count("*").alias("size"))
+    entries = index.where("tok IS NOT NULL").groupBy("tok", "gid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.min("w").alias("w"))
+    shared = entries.groupBy("tok").agg(F.count("*").alias("docs")).where("docs > 1")
+    entries = entries.join(shared.select("tok"), "tok").join(members.select("gid", "s1"), "gid")
+    # the members of one group are held against each other under the group's own name
+    inside = members.join(groups.where("size > 1"), "gid").select(F.col("gid").alias("tok"), "s1", "n", F.lit(0).alias("pos"), F.lit(0).alias("w"))
+    nodes = durable(entries.select("tok", "s1", "n", "pos", "w").unionByName(inside))
 
     def close(n_a: str, n_b: str, pos_a: str, pos_b: str):
         """Sizes and positions with which a pair can still link."""
         need = F.ceil(F.lit(percent) * (F.col(n_a) + F.col(n_b)) / F.lit(100.0 + percent))
         return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.least(F.col(n_a) - F.col(pos_a), F.col(n_b) - F.col(pos_b)) >= need)
 
-    # first round: pivots
-    to_pivot = entries.where("gid <> pivot.gid").select("gid", F.col("pivot.gid").alias("other"), "n", F.col("pivot.n").alias("n_b"), "pos", F.col("pivot.pos").alias("pos_b"))
-    to_pivot = to_pivot.where(close("n", "n_b", "pos", "pos_b")).select("gid", "other").distinct()
-    heads = groups.select(F.col("gid").alias("other"), F.col("head").alias("b"))
-    across = to_pivot.join(heads, "other").join(members.select("gid", F.col("s1").alias("a")), "gid").select("a", "b")
-    within = members.join(groups.where("size > 1"), "gid").where("s1 <> head").select(F.col("s1").alias("a"), F.col("head").alias("b"))
-    first = durable(across.unionAll(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = durable(_verify(first, classes, source, size, percent))
-    labels = durable(connected_components(links))
-
-    # second round: what is still apart
-    nodes = entries.select("tok", "gid", "n", "pos").join(members.select("gid", "s1"), "gid").unionByName(
-        # members of one group can link with no indexed shingle in common with another group
-        members.join(groups.where("size > 1").select("gid"), "gid").select(F.col("gid").alias("tok"), "gid", "n", F.lit(0).alias("pos"), "s1")
-    )
-    nodes = nodes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select("tok", "s1", "n", "pos", F.coalesce("component", "s1").alias("component"))
-    sizes = nodes.groupBy("tok", "component").agg(F.count("*").alias("k"))
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # pivot rounds: each class against the one pivot it shares most shingles with
+    links = tested = None
+    labels = spark.createDataFrame([], "node long, component long")
+    for r in range(PIVOT_ROUNDS):
+        now = nodes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+        # first the class with the fewest shingles of its own, which is what others are copies of; then any
+        order = F.struct("w", "s1") if r == 0 else F.struct(F.xxhash64("s1", F.lit(r)), "s1")
+        pivots = now.groupBy("tok").agg(F.max(F.struct(order.alias("o"), "n", "pos", "component")).alias("p"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        pivots = pivots.select("tok", F.col("p.o.s1").alias("b"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b"), F.col("p.component").alias("c_b"))
+        near = now.join(pivots, "tok").where((F.col("component") != F.col("c_b")) & close("n", "n_b", "pos", "pos_b")).groupBy("s1", "b").agg(F.count("*").alias("k"))
+        pairs = ordered(near.groupBy(F.col("s1").alias("a")).agg(F.max(F.struct("k", "b")).alias("top")).select("a", F.col("top.b").alias("b")))
+        pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = durable(_verify(pairs, classes, source, size, percent))
+        links, tested = (found, pairs) if r == 0 else (links.unionAll(found), tested.unionAll(pairs))
+        labels = durable(connected_components(links))
+
+    # what is still apart, whole
+    now = nodes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select("tok", "s1", "n", "pos", F.coalesce("component", "s1").alias("component"))
+    sizes = now.groupBy("tok", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("tok").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("tok", F.col("top.component").alias("main"))
-    apart = durable(nodes.join(main, "tok"))
+    apart = durable(now.join(main, "tok"))
     minor = apart.where("component <> main").select("tok", F.col("s1").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("c_a"))
     other = apart.select("tok", F.col("s1").alias("b"), "n", "pos", "component", "main")
     open_pairs = minor.join(other, "tok").where((F.col("c_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))) & close("n_a", "n", "pos_a", "pos"))
-    second = open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = durable(_verify(durable(second), classes, source, size, percent))
+    last = durable(ordered(open_pairs).join(tested, ["a", "b"], "left_anti"))
+    more = durable(_verify(last, classes, source, size, percent))
 
     final = connected_components(links.unionAll(more)).withColumnRenamed("node", "s1")
     labelled = classes.select("s1", "doc").join(final, "s1", "left").withColumn("component", F.coalesce("component", "s1"))

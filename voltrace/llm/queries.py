@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, pii, quality, sentencepiece_bpe, substring_dedup, topk
+from . import decontaminate, jaccard_join, language_id, license_scan, pii, quality, sentencepiece_bpe, substring_dedup, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,11 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence that a document states, with the wording that differs."""
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels whose crc32 remainder by 4 isn't 2."""
     docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
@@ -120,6 +125,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
     "op3_topk": op3_topk,
     "op4_language_id": op4_language_id,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, license_scan, pii, quality, sentencepiece_bpe, substring_dedup, topk
+from . import decontaminate, jaccard_join, language_id, license_scan, pii, quality, sentencepiece_bpe, substring_dedup, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +88,42 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixity audit of the archives of all pages against a replica with planted faults.
+
+    In the replica, pages whose id leaves 13 by 97 have a changed last
+    character, and those whose id leaves 500 by 1009 are lost.
+    """
+    pages = _read(spark, sf_dir, "pages")
+    a = warc.layout(warc.to_records(pages))
+    changed = F.concat(F.expr("substring(html, 1, length(html) - 1)"), F.lit("~"))
+    replica = pages.where(F.coalesce(F.col("page_id") % 1009 != 500, F.lit(True))).withColumn("html", F.when((F.col("page_id") % 97 == 13) & (F.length("html") > 0), changed).otherwise(F.col("html")))
+    return warc.audit(a, warc.layout(warc.to_records(replica))).select("page_id", "archive", "seq", "offset", "length", "digest", "status", "root")
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, page_id // 1024 AS archive, coalesce(html, '') AS html, url, md5(page_id || '|' || coalesce(url, '')) AS m FROM pages
+), r AS (
+  SELECT page_id, archive, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>' || chr(13) || chr(10)
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || CASE WHEN url IS NULL THEN '' ELSE 'WARC-Target-URI: ' || url || chr(13) || chr(10) END
+    || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM p
+), l AS (
+  SELECT *, sha256(record) AS digest, octet_length(encode(record)) AS length, row_number() OVER w - 1 AS seq,
+    coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    coalesce(sum(CASE WHEN page_id % 1009 = 500 THEN 1 ELSE 0 END) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost
+  FROM r WINDOW w AS (PARTITION BY archive ORDER BY page_id)
+), t0 AS (SELECT archive, seq, sha256(start::BIGINT || ':' || length || ':' || digest) AS h FROM l),
+t1 AS (SELECT archive, seq // 16 AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM t0 GROUP BY archive, seq // 16),
+t2 AS (SELECT archive, seq // 16 AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM t1 GROUP BY archive, seq // 16),
+t3 AS (SELECT archive, sha256(string_agg(h, '' ORDER BY seq)) AS root FROM t2 GROUP BY archive)
+SELECT page_id, l.archive, CAST(seq AS BIGINT) AS seq, CAST(start AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, digest,
+  CASE WHEN page_id % 1009 = 500 THEN 'missing' WHEN page_id % 97 = 13 AND html <> '' THEN 'corrupt' WHEN lost > 0 THEN 'moved' ELSE 'ok' END AS status, root
+FROM l JOIN t3 ON l.archive = t3.archive
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that overlaps with a benchmark item, with the item and the overlap."""
     return decontaminate.contaminated(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
@@ -130,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
@@ -139,4 +176,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": OP3_SQL,
     "op5_substring_dedup": OP5_SQL,
+    "op6_warc": OP6_SQL,
 }

@@ -212,7 +212,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, pe
 
 
 def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    """(doc_id, text_key, n_shingles, component_id) of every row; ``text_key`` is xxhash64 of the text."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     expected = sketch.text_volume(source) // 6
@@ -284,4 +284,17 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, t
     by_class = labelled.join(names, "component").select("s1", "component_id")
     result = rows.join(by_class, "s1", "left")
     own = F.when(F.col("doc").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id"))
-    return result.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return result.select(F.col("doc").alias(doc_id), F.col("key").alias("text_key"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: that of the least id, and of the least text key among equal ids.
+
+    Rows without an id or without words stay.
+    """
+    found = join_components(docs, size, percent, text, doc_id)
+    best = found.where(F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).alias("id"), "text_key")).alias("m"))
+    chosen = best.select(F.col("m.id").alias("__id"), F.col("m.text_key").alias("__key"))
+    keyed = docs.withColumn("__key", F.xxhash64(text)).withColumn("__id", F.col(doc_id).cast("long"))
+    kept = keyed.join(chosen, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return kept.unionByName(keyed.where(F.col(doc_id).isNull())).select(*docs.columns)

@@ -131,12 +131,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under Jaccard similarity 0.8 of 5-word shingles."""
-    return jaccard_join.join_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.join_components(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
-    got = sentencepiece_bpe.encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), default_tokenizer())
+    return token_digests(_read(spark, sf_dir, "documents"), default_tokenizer())
+
+
+def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
+    got = sentencepiece_bpe.encode_decode(docs.select("doc_id", "text"), model_path)
     return got.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

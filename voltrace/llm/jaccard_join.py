@@ -46,6 +46,8 @@ SIZE = 5
 PERCENT = 80
 #: Cells of the frequency sketch; it orders shingles and needs no precision.
 FREQ_CELLS = 1 << 20
+#: Buckets of the filter on documents whose texts a round needs.
+SPOTS = 1 << 20
 #: Rounds in which classes are held against pivots only.
 PIVOT_ROUNDS = 3
 _U = np.uint64
@@ -181,8 +183,11 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, pe
     The texts of the classes in a pair are joined to it; for a class in very
     many pairs the join is split by adaptive execution.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct().join(classes.select("s1", "doc", "key"), "s1")
-    texts = durable(docs.join(wanted, ["doc", "key"]).select("s1", "text").dropDuplicates(["s1"]))
+    spot = F.pmod(F.xxhash64("doc", "key"), F.lit(SPOTS))
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct().join(classes.select("s1", "doc", "key"), "s1"))
+    # most documents are in no pair; a table of at most SPOTS numbers keeps their texts out of the shuffle
+    near = docs.withColumn("spot", spot).join(F.broadcast(wanted.select(spot.alias("spot")).distinct()), "spot", "left_semi")
+    texts = durable(near.join(wanted, ["doc", "key"]).select("s1", "text").dropDuplicates(["s1"]))
     both = pairs.join(texts.select(F.col("s1").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("s1").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

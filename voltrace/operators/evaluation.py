@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..schema import WEIGHT_SETS, DemandConfig, PriceConfig, ScoreConfig
 from . import scoring, signals
 
+#: Means of rounded figures often lie halfway between two roundings; this sends them all up, whatever the summation order.
+TIE = 1e-9
+
 
 def month_grid(obs: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """(as_of): the last day with demand in each month, from the first of the start's month."""
@@ -70,7 +73,7 @@ def backtest_summary(rows: DataFrame, horizons: Sequence[int] = (30, 90)) -> Dat
     rho = rank_correlation(rows, "signal_pressure", "future_pressure", "horizon_days")
     mean = rows.groupBy("horizon_days").agg(F.avg("future_delta").alias("mean"))
     out = wanted.join(rho, "horizon_days", "left").join(mean, "horizon_days", "left")
-    return out.select("horizon_days", F.coalesce("n", F.lit(0)).cast("long").alias("observations"), F.round("rho", 4).alias("spearman_rank_correlation"), F.round("mean", 4).alias("mean_future_delta"))
+    return out.select("horizon_days", F.coalesce("n", F.lit(0)).cast("long").alias("observations"), F.round("rho", 4).alias("spearman_rank_correlation"), F.round(F.col("mean") + TIE, 4).alias("mean_future_delta"))
 
 
 def score_history(obs: DataFrame, dates: DataFrame, regions: Sequence[str] | None = None, config: ScoreConfig = ScoreConfig()) -> DataFrame:
@@ -114,4 +117,4 @@ def sensitivity_scenarios(obs: DataFrame, as_of: DataFrame, regions: Sequence[st
 def sensitivity_summary(scenarios: DataFrame) -> DataFrame:
     """(entity_id, scenario_count, min, max, mean and range of pressure) over scenarios that could be scored."""
     p = F.col("pressure")
-    return scenarios.groupBy("entity_id").agg(F.count(p).alias("scenario_count"), F.min(p).alias("min_pressure"), F.max(p).alias("max_pressure"), F.round(F.avg(p), 4).alias("mean_pressure"), F.round(F.max(p) - F.min(p), 4).alias("pressure_range"))
+    return scenarios.groupBy("entity_id").agg(F.count(p).alias("scenario_count"), F.min(p).alias("min_pressure"), F.max(p).alias("max_pressure"), F.round(F.avg(p) + TIE, 4).alias("mean_pressure"), F.round(F.max(p) - F.min(p), 4).alias("pressure_range"))

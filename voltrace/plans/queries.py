@@ -216,7 +216,7 @@ _RHO = "CASE WHEN stddev_pop(x) * stddev_pop(y) = 0 THEN 0.0::DOUBLE ELSE covar_
 @query(
     f"""WITH {BACKTEST}, ranks AS (SELECT horizon_days, future_delta, rank() OVER (PARTITION BY horizon_days ORDER BY signal_pressure) + (count(*) OVER (PARTITION BY horizon_days, signal_pressure) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY horizon_days ORDER BY future_pressure) + (count(*) OVER (PARTITION BY horizon_days, future_pressure) - 1) / 2.0::DOUBLE AS y FROM back),
 hs AS (SELECT * FROM (VALUES (30), (90)) t(h))
-SELECT CAST(h AS INTEGER) AS horizon_days, count(x) AS observations, round(CASE WHEN count(x) > 1 THEN {_RHO} END, 4) AS spearman_rank_correlation, round(avg(future_delta), 4) AS mean_future_delta FROM hs LEFT JOIN ranks ON h = horizon_days GROUP BY h"""
+SELECT CAST(h AS INTEGER) AS horizon_days, count(x) AS observations, round(CASE WHEN count(x) > 1 THEN {_RHO} END, 4) AS spearman_rank_correlation, round(avg(future_delta) + 1e-9::DOUBLE, 4) AS mean_future_delta FROM hs LEFT JOIN ranks ON h = horizon_days GROUP BY h"""
 )
 def backtest_summary(spark, sf_dir):
     return evaluation.backtest_summary(_backtest(spark, sf_dir))
@@ -247,7 +247,7 @@ def sensitivity_scenarios(spark, sf_dir):
     return _sensitivity(spark, sf_dir)
 
 
-@query(f"WITH {SENSITIVITY} SELECT entity_id, count(pressure) AS scenario_count, min(pressure) AS min_pressure, max(pressure) AS max_pressure, round(avg(pressure), 4) AS mean_pressure, round(max(pressure) - min(pressure), 4) AS pressure_range FROM scenarios GROUP BY entity_id")
+@query(f"WITH {SENSITIVITY} SELECT entity_id, count(pressure) AS scenario_count, min(pressure) AS min_pressure, max(pressure) AS max_pressure, round(avg(pressure) + 1e-9::DOUBLE, 4) AS mean_pressure, round(max(pressure) - min(pressure), 4) AS pressure_range FROM scenarios GROUP BY entity_id")
 def sensitivity_summary(spark, sf_dir):
     return evaluation.sensitivity_summary(_sensitivity(spark, sf_dir))
 

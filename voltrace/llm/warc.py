@@ -30,6 +30,8 @@ from .components import durable
 #: Ids of an archive.
 SPAN = 1024
 FANOUT = 16
+#: Most ranges of ids with too many rows for one archive that are broadcast.
+CROWDED = 50_000
 #: Levels above the leaves for an archive of SPAN records.
 LEVELS = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -47,9 +49,13 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
 
 def to_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", span: int = SPAN) -> DataFrame:
     """(archive, part, page_id, record): the record of every page and where it belongs."""
-    crowded = pages.groupBy(F.floor(F.col(page_id) / span).cast("long").alias("archive")).agg(F.count("*").alias("n")).where(F.col("archive").isNull() | (F.col("n") > 4 * span))
-    known = pages.select(F.floor(F.col(page_id) / span).cast("long").alias("archive"), F.col(page_id).cast("long").alias("page_id"), record_text(F.col(page_id), F.col(url), F.col(html)).alias("record"))
-    parts = crowded.select(F.col("archive").alias("__a"), F.ceil(F.col("n") / span).alias("__n"))
+    archive = F.floor(F.col(page_id) / span).cast("long")
+    known = pages.select(archive.alias("archive"), F.col(page_id).cast("long").alias("page_id"), record_text(F.col(page_id), F.col(url), F.col(html)).alias("record"))
+    crowded = pages.groupBy(archive.alias("__a")).agg(F.count("*").alias("n")).where(F.col("__a").isNull() | (F.col("n") > 4 * span))
+    parts = crowded.select("__a", F.ceil(F.col("n") / span).alias("__n"))
+    # ranges of ids that crowd are few as a rule, so the records needn't move; beyond a checked number they do
+    if parts.limit(CROWDED + 1).count() <= CROWDED:
+        parts = F.broadcast(parts)
     dealt = known.join(parts, F.col("archive").eqNullSafe(F.col("__a")), "left")
     part = F.when(F.col("__n") > 1, F.pmod(F.xxhash64("record"), F.col("__n"))).otherwise(F.lit(0))
     return dealt.select(F.coalesce("archive", F.lit(-1)).alias("archive"), part.cast("long").alias("part"), "page_id", "record")
@@ -131,7 +137,7 @@ def write_archives(records: DataFrame, path: str) -> None:
         system.create_dir(base, recursive=True)
         for row in rows:
             name = f"{base}/{row.archive:012d}-{row.part:06d}.warc.gz"
-            with system.open_output_stream(name) as out:
+            with system.open_output_stream(name, compression=None) as out:  # the members below are the compression
                 for _, _, raw in split_records(bytes(row.content)):
                     out.write(gzip.compress(raw, mtime=0))
 

@@ -77,12 +77,10 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for k, n in enumerate(ORDERS):
         h = np.full(len(s), n, np.uint64)
         for j in range(n):
-            # a text's first grams also hold the boundary in front of it, never the text before
             part = np.zeros(len(s), np.uint64)
             part[j:] = s[: len(s) - j] if j else s
-            if j > 1:
-                for d in range(1, j):
-                    part[first[:-1][first[:-1] + d < len(s)] + d] = 0
+            for d in range(j):  # a text's first grams reach back to its boundary, never into the text before
+                part[first[:-1][first[:-1] + d < len(s)] + d] = 0
             h = h * np.uint64(0x100000001B3) + part
         out[:, k] = mix(h) & np.uint64(BUCKETS - 1)
     return out[: first[-1]].reshape(-1), first * len(ORDERS), has  # a boundary behind the last text is left out

@@ -46,6 +46,8 @@ SIZE = 5
 PERCENT = 80
 #: Cells of the frequency sketch; it orders shingles and needs no precision.
 FREQ_CELLS = 1 << 20
+#: Bound of the repeat sketch, which only thins the index here.
+MAX_CELLS = 1 << 27
 #: Buckets of the filter on documents whose texts a round needs.
 SPOTS = 1 << 20
 #: Rounds in which classes are held against pivots only.
@@ -161,7 +163,7 @@ def _index(docs: DataFrame, bits, level, size: int, percent: int) -> DataFrame:
                     chosen = flat[a:b][top]
                     gids[j] = mix(np.array([HASH.run(chosen) ^ (int(b - a) * 0x9E3779B97F4A7C15 & (2**64 - 1))], np.uint64))[0]
                     if int(gids[j]) not in seen:
-                        if len(seen) < 1_000_000:
+                        if len(seen) < 200_000:
                             seen.add(int(gids[j]))
                         shared = np.flatnonzero(again[a:b][top])
                         toks.append(chosen[shared])
@@ -228,7 +230,7 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, t
                 yield shingle_sets(data, off, size)[0]
 
     named = source.where("doc IS NOT NULL")
-    bits = spark.sparkContext.broadcast(sketch.repeated_cells(named.select("text"), identities, expected))
+    bits = spark.sparkContext.broadcast(sketch.repeated_cells(named.select("text"), identities, expected, MAX_CELLS))
     profiles = durable(_profiles(source, size))
     level = spark.sparkContext.broadcast(_frequencies(profiles))
     rows = profiles.where("part IS NULL").select("doc", "key", "n", "s1", "s2")
@@ -239,6 +241,8 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, t
     classes = durable(filled.groupBy("s1").agg(least["doc"].alias("doc"), one.alias("key")))
 
     index = durable(_index(named, bits, level, size, percent))
+    for held in (bits, level):  # the index is written; nothing reads them again
+        held.unpersist()
     members = durable(index.where("tok IS NULL").select("gid", "s1", "n").distinct())
     groups = members.groupBy("gid").agg(F.count("*").alias("size"))
     entries = index.where("tok IS NOT NULL").groupBy("tok", "gid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.min("w").alias("w"))

@@ -37,7 +37,7 @@ SMOOTHING = 0.5
 #: Evidence of longer texts is scaled to so many n-grams before it becomes a score.
 EVIDENCE = 60.0
 #: Characters handled at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])

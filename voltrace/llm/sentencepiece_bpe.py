@@ -33,6 +33,8 @@ from .textkernel import HASH, chunks
 MARK = "▁"
 #: Segments with more characters than this are merged with an agenda.
 LONG_SEGMENT = 400
+#: Bytes of text merged at once: larger pieces share more equal segments.
+CHUNK = 2 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -267,7 +269,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
             column = batch.column(batch.schema.get_field_index(text))
             if pa.compute.any(pa.compute.match_substring(column, MARK)).as_py():
                 batch = batch.set_column(batch.schema.get_field_index(text), text, pa.compute.replace_substring(column, MARK, " "))
-            for piece, data, off in chunks(batch, text):
+            for piece, data, off in chunks(batch, text, CHUNK):
                 got, got_off, out, out_off = encode_chunk(t, data, off)
                 arrays = [piece.column(piece.schema.get_field_index(c)) for c in rest]
                 arrays += [pa.ListArray.from_arrays(pa.array(got_off, pa.int32()), pa.array(got, pa.int32())), pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(out_off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out)))]

@@ -28,9 +28,9 @@ RANGE = 1 << 22
 FLUSH = 4 << 20
 
 
-def cells_for(expected: int) -> int:
+def cells_for(expected: int, most: int = MAX_CELLS) -> int:
     """Cells, a power of two, for so many identities."""
-    return min(MAX_CELLS, max(MIN_CELLS, 1 << max(0, int(2 * expected - 1).bit_length())))
+    return min(most, max(MIN_CELLS, 1 << max(0, int(2 * expected - 1).bit_length())))
 
 
 def cell(h: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -69,12 +69,12 @@ def _partial(h: np.ndarray, cells: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["part", "one", "two"])
 
 
-def repeated_cells(table: DataFrame, identities: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int) -> np.ndarray:
+def repeated_cells(table: DataFrame, identities: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int, most: int = MAX_CELLS) -> np.ndarray:
     """Bits (DEPTH rows, packed) of the cells that at least two identities of ``table`` fall into.
 
     ``identities`` turns a partition's batches into arrays of 64-bit identities.
     """
-    cells = cells_for(expected)
+    cells = cells_for(expected, most)
     step = min(RANGE, cells)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from .textkernel import HASH, HASH_2, as_long, chunks, mix, window_starts, words
 
 SIZE = 13
 #: Candidate windows gathered before equal ones of a partition are reduced.
-GATHER = 2 << 20
+GATHER = 1 << 20
 _KEY = "__text_key"
 
 

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; one longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text handled at once, which need about 60 times as much memory; one longer document is a chunk of its own.
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _WHITE = np.zeros(256, bool)

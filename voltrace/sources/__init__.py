@@ -46,9 +46,11 @@ def operating_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     row = "period string, respondent string, `type-name` string, type string, value string, `value-units` string"
     raw = spark.read.schema(f"response struct<total: string, data: array<struct<{row.replace(' string', ': string')}>>>").json(paths, multiLine=True)
     flat = raw.select(F.input_file_name().alias("file"), F.posexplode("response.data").alias("at", "r")).select("file", "at", F.col("r.period").alias("period"), F.col("r.respondent").alias("respondent"), F.col("r.`type-name`").alias("type_name"), F.col("r.type").alias("type"), F.col("r.value").alias("value"), F.col("r.`value-units`").alias("unit"))
-    keyed = flat.withColumns({"key": F.coalesce("type_name", "type"), "__ord": F.struct("file", "at")})
+    # files are numbered by name, rows by their place; only the short list of files is sorted in one task
+    files = raw.select(F.input_file_name().alias("file")).distinct().withColumn("number", F.row_number().over(Window.orderBy("file")).cast("long"))
+    keyed = flat.join(files, "file").withColumns({"key": F.coalesce("type_name", "type"), "__ord": F.col("number") * (1 << 32) + F.col("at")})
     merged = last_by_key(keyed, ["period", "respondent", "key"], "__ord", ["type_name", "type", "value", "unit"])
-    return merged.withColumn("ord", F.row_number().over(Window.orderBy("position")).cast("long")).drop("position", "key")
+    return merged.withColumnRenamed("position", "ord").drop("key")
 
 
 def read_operating(spark: SparkSession, paths: str | Sequence[str], retrieved_at: dt.datetime, metrics: Sequence[str] = ("demand", "net_generation")) -> DataFrame:

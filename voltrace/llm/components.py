@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, rows: int = 0) -> DataFrame:
     """Cut the lineage with a checkpoint that every executor can read.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests, a laptop) a folder under the warehouse is used.
+    unset (tests, a laptop) a folder under the warehouse is used. With ``rows``
+    the result has a partition for so many rows and not one for each shuffle
+    partition, so that small tables don't make a file for each of these in
+    every later shuffle.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/.checkpoints")
-    return df.checkpoint()
+    kept = df.checkpoint()
+    return kept.coalesce(max(1, -(-kept.count() // rows))) if rows else kept
+
+
+#: Rows of a partition of narrow tables.
+NARROW = 250_000
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,7 +36,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     loops = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    edges = durable(edges.where("u < v"))
+    edges = durable(edges.where("u < v"), NARROW)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
@@ -41,7 +49,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # now every link goes from a smaller to a larger node
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.col("m").alias("u"), F.col("u").alias("w"), "v")
-        edges = durable(small.select("u", F.explode(F.array("w", "v")).alias("v")).where("u < v").distinct())
+        edges = durable(small.select("u", F.explode(F.array("w", "v")).alias("v")).where("u < v").distinct(), NARROW)
         before, now = now, state(edges)
     members = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .components import connected_components, durable
+from .components import NARROW, connected_components, durable
 from .textkernel import HASH, LOWER_AZ, as_long, chunks, mix, window_starts, words_of
 
 SIZE = 5
@@ -51,7 +51,7 @@ MAX_CELLS = 1 << 27
 #: Buckets of the filter on documents whose texts a round needs.
 SPOTS = 1 << 20
 #: Rounds in which classes are held against pivots only.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 _U = np.uint64
 
 
@@ -186,10 +186,10 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, pe
     many pairs the join is split by adaptive execution.
     """
     spot = F.pmod(F.xxhash64("doc", "key"), F.lit(SPOTS))
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct().join(classes.select("s1", "doc", "key"), "s1"))
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct().join(classes.select("s1", "doc", "key"), "s1"), NARROW)
     # most documents are in no pair; a table of at most SPOTS numbers keeps their texts out of the shuffle
     near = docs.withColumn("spot", spot).join(F.broadcast(wanted.select(spot.alias("spot")).distinct()), "spot", "left_semi")
-    texts = durable(near.join(wanted, ["doc", "key"]).select("s1", "text").dropDuplicates(["s1"]))
+    texts = durable(near.join(wanted, ["doc", "key"]).select("s1", "text").dropDuplicates(["s1"]), 4000)
     both = pairs.join(texts.select(F.col("s1").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("s1").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,19 +238,19 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, t
     # a class goes by s1; should two sets ever share it, s2 tells and the job fails rather than merge them
     least = F.min(F.struct("doc", "key"))
     one = F.when(F.min("s2") == F.max("s2"), F.min(F.struct("doc", "key"))["key"]).otherwise(F.raise_error(F.lit("two shingle sets share an identity")))
-    classes = durable(filled.groupBy("s1").agg(least["doc"].alias("doc"), one.alias("key")))
+    classes = durable(filled.groupBy("s1").agg(least["doc"].alias("doc"), one.alias("key")), NARROW)
 
     index = durable(_index(named, bits, level, size, percent))
     for held in (bits, level):  # the index is written; nothing reads them again
         held.unpersist()
-    members = durable(index.where("tok IS NULL").select("gid", "s1", "n").distinct())
+    members = durable(index.where("tok IS NULL").select("gid", "s1", "n").distinct(), NARROW)
     groups = members.groupBy("gid").agg(F.count("*").alias("size"))
     entries = index.where("tok IS NOT NULL").groupBy("tok", "gid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.min("w").alias("w"))
     shared = entries.groupBy("tok").agg(F.count("*").alias("docs")).where("docs > 1")
     entries = entries.join(shared.select("tok"), "tok").join(members.select("gid", "s1"), "gid")
     # the members of one group are held against each other under the group's own name
     inside = members.join(groups.where("size > 1"), "gid").select(F.col("gid").alias("tok"), "s1", "n", F.lit(0).alias("pos"), F.lit(0).alias("w"))
-    nodes = durable(entries.select("tok", "s1", "n", "pos", "w").unionByName(inside))
+    nodes = durable(entries.select("tok", "s1", "n", "pos", "w").unionByName(inside), NARROW)
 
     def close(n_a: str, n_b: str, pos_a: str, pos_b: str):
         """Sizes and positions with which a pair can still link."""
@@ -271,21 +271,21 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, t
         pivots = pivots.select("tok", F.col("p.o.s1").alias("b"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b"), F.col("p.component").alias("c_b"))
         near = now.join(pivots, "tok").where((F.col("component") != F.col("c_b")) & close("n", "n_b", "pos", "pos_b")).groupBy("s1", "b").agg(F.count("*").alias("k"))
         pairs = ordered(near.groupBy(F.col("s1").alias("a")).agg(F.max(F.struct("k", "b")).alias("top")).select("a", F.col("top.b").alias("b")))
-        pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = durable(_verify(pairs, classes, source, size, percent))
+        pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), NARROW)
+        found = durable(_verify(pairs, classes, source, size, percent), NARROW)
         links, tested = (found, pairs) if r == 0 else (links.unionAll(found), tested.unionAll(pairs))
-        labels = durable(connected_components(links))
+        labels = durable(connected_components(links), NARROW)
 
     # what is still apart, whole
     now = nodes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select("tok", "s1", "n", "pos", F.coalesce("component", "s1").alias("component"))
     sizes = now.groupBy("tok", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("tok").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("tok", F.col("top.component").alias("main"))
-    apart = durable(now.join(main, "tok"))
+    apart = durable(now.join(main, "tok"), NARROW)
     minor = apart.where("component <> main").select("tok", F.col("s1").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("c_a"))
     other = apart.select("tok", F.col("s1").alias("b"), "n", "pos", "component", "main")
     open_pairs = minor.join(other, "tok").where((F.col("c_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))) & close("n_a", "n", "pos_a", "pos"))
-    last = durable(ordered(open_pairs).join(tested, ["a", "b"], "left_anti"))
-    more = durable(_verify(last, classes, source, size, percent))
+    last = durable(ordered(open_pairs).join(tested, ["a", "b"], "left_anti"), NARROW)
+    more = durable(_verify(last, classes, source, size, percent), NARROW)
 
     final = connected_components(links.unionAll(more)).withColumnRenamed("node", "s1")
     labelled = classes.select("s1", "doc").join(final, "s1", "left").withColumn("component", F.coalesce("component", "s1"))

@@ -4,6 +4,8 @@ Words are runs of anything but ASCII white space; a window is ``size``
 consecutive words. A window is a repeat if its word sequence also starts in a
 document with a smaller id; every word that a repeat covers is removed.
 
+0. A text that a smaller id also has whole is a repeat throughout; such copies
+   are one row each and take no part in what follows (``MAX_COPIES``).
 1. Each partition sketches its window identities; the merged count-min sketch
    overestimates their counts, so no repeat is lost (``sketch``).
 2. Only windows estimated to occur twice are shuffled, by a 96-bit identity,
@@ -31,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
+from .components import NARROW, durable
 from .sentencepiece_bpe import take_runs
 from .textkernel import HASH, HASH_2, as_long, chunks, mix, window_starts, words_of
 
 SIZE = 13
 #: Candidate windows gathered before equal ones of a partition are reduced.
-GATHER = 1 << 20
+GATHER = 1 << 19
+#: Most classes of equal texts whose list is broadcast; beyond that copies go through their windows like any text.
+MAX_COPIES = 200_000
 _KEY = "__text_key"
 
 
@@ -65,10 +70,28 @@ def _candidates(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[both], pa.int64()), pa.array(key[both], pa.int64()), pa.array(np.concatenate((np.zeros(len(open_), np.int64), run)), pa.int64()), as_long(names), as_long(tail)], ["doc", "key", "run", "h1", "tail"])
 
 
+def _copies(piece: pa.RecordBatch, rows: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    """Whole texts that a smaller id also has: all their windows are repeats."""
+    doc, key = (piece.column(piece.schema.get_field_index(c)).take(pa.array(rows)) for c in ("doc", "key"))
+    names = mix(key.to_numpy().view(np.uint64) ^ doc.to_numpy().view(np.uint64))
+    return pa.RecordBatch.from_arrays([doc, key, pa.array(windows, pa.int64()), as_long(names), pa.array(np.zeros(len(rows), np.int64))], ["doc", "key", "run", "h1", "tail"])
+
+
+def _with_copies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc, key, text, copy) of rows with an id; a copy is a text that a smaller id has, by 96 bits and its length."""
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.hash(text).alias("second"), F.octet_length(text).alias("size"), F.col(text).alias(text))
+    same = ["key", "second", "size"]
+    classes = durable(rows.where("size > 0").groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(*same, "least"), NARROW)
+    if classes.count() > MAX_COPIES:
+        return rows.select("doc", "key", text, F.lit(False).alias("copy"))
+    return rows.join(F.broadcast(classes), same, "left").select("doc", "key", text, F.coalesce(F.col("doc") > F.col("least"), F.lit(False)).alias("copy"))
+
+
 def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without ``text`` but with ``n_words``, ``n_removed`` and ``kept`` (the kept words joined by one space)."""
     spark = docs.sparkSession
     expected = sketch.text_volume(docs, text) // 6
+    source = _with_copies(docs, text, doc_id)
 
     def identities(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
@@ -77,7 +100,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id
                 at, _ = window_starts(w.first, size)
                 yield HASH.windows(w.hash, size)[at]
 
-    bits = spark.sparkContext.broadcast(sketch.repeated_cells(docs.select(text), identities, expected))
+    bits = spark.sparkContext.broadcast(sketch.repeated_cells(source.where("NOT copy").select(text), identities, expected))
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -85,9 +108,13 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id
         for batch in batches:
             for piece, data, off in chunks(batch, text):
                 w = words_of(data, off)
+                copy = np.array(piece.column(piece.schema.get_field_index("copy")), bool)
+                whole = np.flatnonzero(copy & (np.diff(w.first) >= size))
+                if len(whole):
+                    yield _copies(piece, whole, np.diff(w.first)[whole] - size + 1)
                 at, doc = window_starts(w.first, size)
                 h1 = HASH.windows(w.hash, size)[at]
-                hit = np.flatnonzero(sketch.maybe_repeated(bits.value, h1))
+                hit = np.flatnonzero(sketch.maybe_repeated(bits.value, h1) & ~copy[doc])
                 if len(hit):
                     at, doc = at[hit], doc[hit]
                     second = words_of(data, off, hasher=HASH_2).hash
@@ -101,7 +128,6 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id
         if held:
             yield _candidates(parts)
 
-    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias(text))
     # run 0: a window to be grouped, by 96 bits (h1 and the upper half of tail, whose lower half is the position)
     found = source.mapInArrow(flag, "doc long, key long, run long, h1 long, tail long").repartition("h1")
     least = F.min("doc").over(Window.partitionBy("h1", F.shiftright("tail", 32)))

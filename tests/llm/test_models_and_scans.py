@@ -181,6 +181,18 @@ def test_personal_data_against_plain_patterns(spark, docs):
     assert pii.find(df.where("false"), pii.fit(df.where("false"))).count() == 0
 
 
+def test_addresses_with_zero_parts(docs):
+    rng = random.Random(11)
+    texts = ["10.0.0.1", "0.0.0.0", "x 127.0.0.1 y 192.168.0.1", "1.2.3.0 000.00.0.0 0256.0.0.1 100.0.0.255", "0.0.0", "1.0.0.256 00300.0.0.0", "0" * 4000 + ".0.0.1"]
+    texts += ["".join(rng.choice("0001259.. +") for _ in range(rng.randrange(60))) for _ in range(300)]
+    df = docs(list(enumerate(texts)))
+    model = pii.fit(df)
+    for r, t in zip(pii.find(df, model).orderBy("doc_id").collect(), texts, strict=True):
+        assert [(s.start, s.kind, s.end) for s in r.base] == base_of(t), t
+    masked = [r.text for r in pii.redact(df, model).orderBy("doc_id").limit(5).collect()]
+    assert masked == ["[IP]", "[IP]", "x [IP] y [IP]", "[IP] [IP] 0256.0.0.1 [IP]", "0.0.0"]
+
+
 def test_added_spans_and_masking(docs):
     text = "Call phone (212) 555-0199 now. SSN 078-05-1120, mail joe [at] site [dot] com or a@b.co; version 123-45-6789"
     df = docs([(1, text), (2, None), (3, "clean text of 1998-2001")])

@@ -231,3 +231,16 @@ def test_differences_are_listed():
     saved, k = s.rank(block)[0]
     share, missing = s.confirm(block, k)
     assert s.rows[k][0] == "MIT" and saved > 0.5 and 0.9 < share < 1 and missing == ["free of charge>at no cost"]
+
+
+def test_wrapped_notices_anywhere(docs, prose):
+    long_lines = "\n".join(prose(900, k) for k in range(4))
+    mit = license_scan.TEMPLATES["MIT"][3].split()
+    eight = "\n".join(" ".join(mit[k : k + 13]) for k in range(0, len(mit), 13))
+    two = "This work is licensed under the GNU General\nPublic License, version 3."
+    rows = [
+        (1, f"{long_lines}\n{two}\n{long_lines}"), (2, "\n".join([*(prose(5, k) for k in range(57)), eight, *(prose(5, k) for k in range(70))])),
+        (3, f"{prose(20, 1)}\n\n{two}"), (4, two), (5, f"{prose(9, 2)}\n# All rights\n# reserved."), (6, f"{long_lines}\n\na license\nto drive"),
+    ]
+    got = sorted((r.doc_id, r.license) for r in license_scan.scan_licenses(docs(rows)).collect())
+    assert got == [(1, "GPL-3.0"), (2, "MIT"), (3, "GPL-3.0"), (4, "GPL-3.0"), (5, "Proprietary")]

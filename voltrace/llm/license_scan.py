@@ -10,8 +10,9 @@ and the block lacks or changes is listed, and a licence is reported if enough
 of the template's words are there in order.
 
 Edge cases: null and empty texts have no block; names, years and holders in a
-notice don't count as differences; a block that is longer than a window is cut
-into overlapping windows, so long texts are scanned whole; ties between
+notice don't count as differences; a line or paragraph that is longer than a
+window is cut into overlapping windows, whatever its length and number of
+lines, so long texts are scanned whole; ties between
 templates go to fewer differences, then to the first by name; repeated rows
 give repeated results; a null id is reported as null; other columns are
 ignored; an empty table gives an empty result.
@@ -69,7 +70,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: Every template has one of these, in lower case.
 CUES = ("licen", "permi", "redistribut", "public domain", "all rights reserved", "proprietary", "cc0", "mozilla public")
-_CUE = re.compile("|".join(CUES), re.IGNORECASE)
+#: The words of a cue may be on two lines, with a comment mark between them.
+_CUE_PATTERNS = {c: c.replace(" ", r"[\W_]+") for c in CUES}
+_CUE = re.compile("|".join(_CUE_PATTERNS.values()), re.IGNORECASE)
+_PARAGRAPH = re.compile(r"^[^\n]++(?:\n[^\n]++)++", re.MULTILINE)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Words of a window, and its step, in blocks longer than that.
 WINDOW, STEP = 160, 80
@@ -83,6 +87,16 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def windows(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of overlapping windows over a stretch of a text, or the stretch itself if it is short."""
+    spans = [m.span() for m in re.compile(r"\S+").finditer(text, begin, end)]
+    if len(spans) <= WINDOW:
+        yield begin, end
+        return
+    for k in range(0, len(spans) - STEP, STEP):
+        yield spans[k][0], spans[min(k + WINDOW, len(spans)) - 1][1]
+
+
 class Scanner:
     """Templates with their dictionaries and words."""
 
@@ -94,23 +108,20 @@ class Scanner:
         self.with_template = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode() + b"\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for _, _, t, _ in self.rows]
 
     def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        """(start, block): paragraphs without their other lines' cue-free ends, cut into windows if long."""
+        """(start, block): lines, and paragraphs of more lines as one, cut into windows if long."""
         at = 0
         for line in text.split("\n"):
             if _CUE.search(line):
-                spans = [m.span() for m in re.finditer(r"\S+", line)]
-                if len(spans) <= WINDOW:
-                    yield at, line
-                else:
-                    for k in range(0, len(spans) - STEP, STEP):
-                        a, b = spans[k][0], spans[min(k + WINDOW, len(spans)) - 1][1]
-                        if _CUE.search(line, a, b):
-                            yield at + a, line[a:b]
+                for a, b in windows(text, at, at + len(line)):
+                    if _CUE.search(text, a, b):
+                        yield a, text[a:b]
             at += len(line) + 1
-        for m in re.finditer(r"(?:[^\n]+\n){2,60}[^\n]*", text):  # notices wrapped over lines
-            block = m.group()
-            if _CUE.search(block) and len(block) < 16_384:
-                yield m.start(), " ".join(block.split())
+        for m in _PARAGRAPH.finditer(text):  # notices wrapped over lines
+            if _CUE.search(text, *m.span()):
+                for a, b in windows(text, *m.span()):
+                    # the windows of a line have what lies in that line alone
+                    if "\n" in (block := text[a:b]) and _CUE.search(block):
+                        yield a, " ".join(block.split())
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """(share of bytes saved, template), best first."""
@@ -168,5 +179,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
 
     # the cues are tested once in the JVM, so that texts without one never reach Python
     low = F.lower(F.col(text))
-    cued = docs.where(F.greatest(*(F.contains(low, F.lit(c)) for c in CUES)))
+    has = [F.contains(low, F.lit(c.split()[-1])) & (low.rlike(p) if " " in c else F.lit(True)) for c, p in _CUE_PATTERNS.items()]
+    cued = docs.where(F.greatest(*has))
     return cued.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, license string, start long, saved double, share double, differences array<string>").withColumnRenamed("doc_id", doc_id)

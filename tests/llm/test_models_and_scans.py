@@ -244,3 +244,15 @@ def test_wrapped_notices_anywhere(docs, prose):
     ]
     got = sorted((r.doc_id, r.license) for r in license_scan.scan_licenses(docs(rows)).collect())
     assert got == [(1, "GPL-3.0"), (2, "MIT"), (3, "GPL-3.0"), (4, "GPL-3.0"), (5, "Proprietary")]
+
+
+def test_short_notices_amid_other_templates_words():
+    s = license_scan.Scanner()
+    # ordinary and licence-like words, each in pieces too short to be a notice
+    pieces = [" ".join(t.split()[k : k + 5]) for _, _, t, w in s.rows if len(w) > 40 for k in range(0, len(t.split()), 9)]
+    short = [(name, t) for name, _, t, w in s.rows if len(w) < 16]
+    for k, (name, notice) in enumerate(short):
+        rng = random.Random(k)
+        amid = rng.sample(pieces, 28)
+        text = f"{' '.join(amid[:14])} {notice} {' '.join(amid[14:])}"
+        assert name in {hit[1] for hit in s.scan(text)}, (name, notice)

@@ -4,10 +4,11 @@ A text is cut into blocks (paragraphs, and the single lines that look like a
 notice). A block is a candidate if it has one of the cue words that every
 template holds. A candidate is compressed on its own and again with each
 template as a raw zstandard dictionary; what it shares with a template comes
-for nothing then, so the share of bytes saved ranks templates. The best ones
-are confirmed by their exact wording: words are aligned, what a template has
-and the block lacks or changes is listed, and a licence is reported if enough
-of the template's words are there in order.
+for nothing then, so the share of bytes saved ranks templates. Each one of
+which the block has enough words, in any order, is confirmed by its exact
+wording: words are aligned, what a template has and the block lacks or changes
+is listed, and a licence is reported if enough of the template's words are
+there in order.
 
 Edge cases: null and empty texts have no block; names, years and holders in a
 notice don't count as differences; a line or paragraph that is longer than a
@@ -21,6 +22,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -77,8 +79,6 @@ _PARAGRAPH = re.compile(r"^[^\n]++(?:\n[^\n]++)++", re.MULTILINE)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Words of a window, and its step, in blocks longer than that.
 WINDOW, STEP = 160, 80
-#: Templates per block whose wording is compared.
-RANKED = 4
 #: Least share of a template's words that are in a block in order.
 CONFIRM = 0.85
 
@@ -104,6 +104,7 @@ class Scanner:
         self.rows = [(name, k, t, words(t)) for name, texts in sorted(templates.items()) for k, t in enumerate(texts)]
         if missing := [t for _, _, t, _ in self.rows if not _CUE.search(t)]:
             raise ValueError(f"no cue word in {missing[0]!r}")
+        self.counts = [Counter(w) for _, _, _, w in self.rows]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.with_template = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode() + b"\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for _, _, t, _ in self.rows]
 
@@ -123,11 +124,19 @@ class Scanner:
                     if "\n" in (block := text[a:b]) and _CUE.search(block):
                         yield a, " ".join(block.split())
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(share of bytes saved, template), best first."""
+    def possible(self, block: str) -> list[int]:
+        """Templates that ``confirm`` may accept: words that the block lacks altogether are few."""
+        have = set(words(block))
+        lost = [sum(n for w, n in c.items() if w not in have) for c in self.counts]
+        return [k for k, n in enumerate(lost) if (len(self.rows[k][3]) - n) / max(1, len(self.rows[k][3])) >= CONFIRM]
+
+    def rank(self, block: str, among: list[int] | None = None) -> list[tuple[float, int]]:
+        """(share of bytes saved, template), best first, of all templates or some."""
+        if among == []:
+            return []
         raw = block.lower().encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        saved = [(1 - len(c.compress(raw)) / alone, k) for k, c in enumerate(self.with_template)]
+        saved = [(1 - len(self.with_template[k].compress(raw)) / alone, k) for k in (range(len(self.rows)) if among is None else among)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
     def confirm(self, block: str, k: int) -> tuple[float, list[str]]:
@@ -151,7 +160,7 @@ class Scanner:
             return []
         for start, block in self.blocks(text):
             best = None
-            for saved, k in self.rank(block)[:RANKED]:
+            for saved, k in self.rank(block, self.possible(block)):
                 share, missing = self.confirm(block, k)
                 name = self.rows[k][0]
                 # a version number or a clause that names the licence may not differ

@@ -256,3 +256,23 @@ def test_short_notices_amid_other_templates_words():
         amid = rng.sample(pieces, 28)
         text = f"{' '.join(amid[:14])} {notice} {' '.join(amid[14:])}"
         assert name in {hit[1] for hit in s.scan(text)}, (name, notice)
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Released under the MIT License. All rights reserved.", ["MIT", "Proprietary"]),
+        ("Licensed under CC BY 4.0. See the site. SPDX-License-Identifier: MIT", ["CC-BY-4.0", "MIT"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("Licensed under the MIT License or the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+        ("This work is licensed under the GNU General Public License, version 2 or version 3.", ["GPL-2.0", "GPL-3.0"]),
+        # one licence, whose wording holds that of another or is near it
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("This work is licensed under the GNU General Public License, version 2. There are 3 files.", ["GPL-2.0"]),
+    ],
+)
+def test_several_licenses_in_a_block(text, names):
+    s = license_scan.Scanner()
+    assert sorted(hit[1] for hit in s.scan(text)) == names
+    assert sorted(hit[1] for hit in s.scan(f"{'word ' * 300}{text}{' word' * 300}")) == names

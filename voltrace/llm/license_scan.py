@@ -8,15 +8,16 @@ for nothing then, so the share of bytes saved ranks templates. Each one of
 which the block has enough words, in any order, is confirmed by its exact
 wording: words are aligned, what a template has and the block lacks or changes
 is listed, and a licence is reported if enough of the template's words are
-there in order.
+there in order. A block may state several licences.
 
 Edge cases: null and empty texts have no block; names, years and holders in a
 notice don't count as differences; a line or paragraph that is longer than a
 window is cut into overlapping windows, whatever its length and number of
-lines, so long texts are scanned whole; ties between
-templates go to fewer differences, then to the first by name; repeated rows
-give repeated results; a null id is reported as null; other columns are
-ignored; an empty table gives an empty result.
+lines, so long texts are scanned whole; ties between templates for the same
+words go to fewer differences, fewer words in between and more bytes saved,
+then to the first by name; repeated rows give repeated results; a null id is
+reported as null; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -81,6 +82,8 @@ _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 WINDOW, STEP = 160, 80
 #: Least share of a template's words that are in a block in order.
 CONFIRM = 0.85
+#: Words between the licences of a dual notice.
+JOINING = {"or", "and", "either"}
 
 
 def words(text: str) -> list[str]:
@@ -139,19 +142,46 @@ class Scanner:
         saved = [(1 - len(self.with_template[k].compress(raw)) / alone, k) for k in (range(len(self.rows)) if among is None else among)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: str, k: int) -> tuple[float, list[str]]:
-        """Share of the template's words found in order, and its words that are missing or changed."""
-        want, have = self.rows[k][3], words(block)
+    def align(self, have: list[str], k: int) -> tuple[float, list[str], list[int]]:
+        """Share of the template's words found in order, its words that are missing or changed, and the places of those found."""
+        want = self.rows[k][3]
         match = SequenceMatcher(None, want, have, autojunk=False)
-        same, missing, first, last = 0, [], None, 0
+        missing, at = [], []
         for tag, a, b, c, d in match.get_opcodes():
             if tag == "equal":
-                same, first, last = same + b - a, c if first is None else first, d
+                at += range(c, d)
             elif tag in ("delete", "replace"):
                 missing += [f"{' '.join(want[a:b])}>{' '.join(have[c:d])[:80]}"]
-        if first is not None and last - first > 1.3 * len(want) + 3:
-            return 0.0, missing  # words that are strewn over the block
-        return same / max(1, len(want)), missing
+        if at and at[-1] + 1 - at[0] > 1.3 * len(want) + 3:
+            return 0.0, missing, at  # words that are strewn over the block
+        return len(at) / max(1, len(want)), missing, at
+
+    def confirm(self, block: str, k: int) -> tuple[float, list[str]]:
+        """Share of the template's words found in order, and its words that are missing or changed."""
+        return self.align(words(block), k)[:2]
+
+    def stated(self, block: str) -> list[tuple[str, float, float, list[str]]]:
+        """(licence, share saved, share of words, differences) of the confirmed licences of a block, best first.
+
+        Where wordings overlap, the better one stays; another one also stays if
+        the words in between only join the two, as in "MIT OR Apache-2.0".
+        """
+        have, good = words(block), []
+        for saved, k in self.rank(block, self.possible(block)):
+            share, missing, at = self.align(have, k)
+            # a version number or a clause that names the licence may not differ
+            if share >= CONFIRM and not any(re.search(r"\d|^(?:sa|nc|by|mit|bsd|lesser|affero|apache|isc)\b", d.split(">")[0]) for d in missing):
+                good.append(((-share, len(missing), at[-1] + 1 - at[0] - len(at), -saved, self.rows[k][0]), k, saved, share, missing, at))
+        out, taken = {}, set()
+        for _, k, saved, share, missing, at in sorted(good):
+            name, between = self.rows[k][0], set(range(at[0], at[-1])) - set(at)
+            joined = {have[i] for i in between if i not in taken} - set(self.rows[k][3])
+            apart = taken.isdisjoint(range(at[0], at[-1] + 1))
+            dual = not taken.issuperset(at) and joined <= JOINING and any(have[i] in JOINING for i in between)
+            if apart or dual:
+                out.setdefault(name, (name, saved, share, missing))
+                taken.update(at)
+        return list(out.values())
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, float, list[str]]]:
         """(start, licence, share saved, share of words, differences) for each confirmed licence of a text, once each."""
@@ -159,17 +189,9 @@ class Scanner:
         if not text or not _CUE.search(text):
             return []
         for start, block in self.blocks(text):
-            best = None
-            for saved, k in self.rank(block, self.possible(block)):
-                share, missing = self.confirm(block, k)
-                name = self.rows[k][0]
-                # a version number or a clause that names the licence may not differ
-                if share >= CONFIRM and not any(re.search(r"\d|^(?:sa|nc|by|mit|bsd|lesser|affero|apache|isc)\b", d.split(">")[0]) for d in missing):
-                    key = (-share, len(missing), -saved, name)
-                    if best is None or key < best[0]:
-                        best = (key, (start, name, saved, share, missing))
-            if best and (best[1][1] not in found or best[1][3] > found[best[1][1]][3]):
-                found[best[1][1]] = best[1]
+            for name, saved, share, missing in self.stated(block):
+                if name not in found or share > found[name][3]:
+                    found[name] = (start, name, saved, share, missing)
         return sorted(found.values())
 
 

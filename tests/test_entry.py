@@ -34,3 +34,13 @@ def test_query_equals_sql(spark, name):
     cell = lambda v: "null" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)[:19].replace(" 00:00:00", "")
     rows = lambda df: sorted(tuple(map(cell, r)) for r in df[columns].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+@needs_data
+def test_score_lineage_has_the_whole_history(spark):
+    import pyarrow.parquet as pq
+
+    events = pq.read_table(f"{DATA}/events.parquet", columns=["event_id", "event_type"]).to_pylist()
+    got = core.QUERIES["score_lineage"](spark, DATA)
+    assert got.columns == ["entity_id", "as_of", "ord", "id"]
+    assert sorted(r.id for r in got.collect()) == sorted(f"e{r['event_id']}" for r in events if r["event_type"] == "view")

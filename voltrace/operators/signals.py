@@ -92,3 +92,9 @@ def lineage(obs: DataFrame, as_of: Column, metric: str) -> DataFrame:
     """(entity_id, observation_ids) of the rows of a metric up to a day, in input order; for one exported date."""
     rows = obs.where((F.col("metric_id") == metric) & (F.col("day") <= as_of))
     return rows.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("observation_ids"))
+
+
+def lineage_rows(obs: DataFrame, grid: DataFrame, metric: str) -> DataFrame:
+    """(entity_id, as_of, ord, id) of all rows of a metric up to the days of a small ``grid`` (entity_id, as_of); no array grows with the history."""
+    rows = obs.where(F.col("metric_id") == metric).select("entity_id", "day", "ord", "id")
+    return rows.join(F.broadcast(grid.select("entity_id", "as_of")), "entity_id").where(F.col("day") <= F.col("as_of")).select("entity_id", "as_of", "ord", "id")

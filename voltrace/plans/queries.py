@@ -413,8 +413,7 @@ def report_json(spark, sf_dir):
 
 @query()
 def score_lineage(spark, sf_dir):
-    """Observation ids behind the demand component up to the tenth day, in input order."""
+    """Observations behind the demand component at each entity's latest scored day, a row for each."""
     obs = views.obs_hourly(spark, sf_dir)
-    day = obs.agg(F.date_add(F.min("day"), 9).alias("d"))
-    rows = obs.join(F.broadcast(day), obs["day"] <= day["d"]).drop("d")
-    return signals.lineage(rows, F.lit(dt.date(9999, 1, 1)), "demand")
+    scored = signals.demand_signal(obs).groupBy("entity_id").agg(F.max("day").alias("as_of"))
+    return signals.lineage_rows(obs, scored, "demand")

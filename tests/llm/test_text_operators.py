@@ -39,14 +39,68 @@ def test_chunks_cover_all_rows():
     assert list(textkernel.chunks(batch.slice(0, 0))) == []
 
 
-def test_sketch_loses_no_repeat():
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate({97: 98, 98: 97})
+    return x[:n]
+
+
+def test_structured_words_have_unlike_identities():
+    for n in (512, 1024, 2048, 4096):
+        w = thue_morse(n)
+        data, off = textkernel.text_bytes(pa.array([w, w.translate({97: 98, 98: 97}), w[8:16] + w[:8] + w[16:]]))
+        for hasher in (textkernel.HASH, textkernel.HASH_2):
+            assert len(set(textkernel.words_of(data, off, hasher=hasher).hash.tolist())) == len({w, w.translate({97: 98, 98: 97}), w[8:16] + w[:8] + w[16:]})
+
+
+def test_sorted_numbers_and_order():
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
-    x = np.sort(rng.choice(10**6, 300, replace=False))
-    assert np.array_equal(sketch.unpack_gaps(sketch.pack_gaps(x)), x)
-    assert sketch.unpack_gaps(sketch.pack_gaps(np.array([0, 255, 510]))).tolist() == [0, 255, 510]
-    part = sketch._partial(np.concatenate((h, h[:100])), 1 << 16)
-    assert set(part.column(0).to_pylist()) <= {0, 1}
+    for x in ([], [0], [5], [0, 0, 3], [0, 255, 510], np.sort(rng.choice(10**6, 300)), np.sort(rng.integers(0, 1 << 62, 500))):
+        x = np.array(x, np.int64)
+        assert np.array_equal(sketch.unpack_sorted(sketch.pack_sorted(x)), x)
+    h = rng.integers(0, 1 << 20, 999, dtype=np.uint64)
+    for bits in (20, 60):
+        assert np.array_equal(sketch.order_of(h, bits), np.argsort(h, kind="stable"))
+
+
+def merged(cells, parts):
+    """Levels that each of the identity arrays gets back."""
+    messages = {}
+    for k, h in enumerate(parts):
+        for row in sketch.partial_sketch(cells, k, h).to_pylist():
+            messages.setdefault(row["part"], []).append(tuple(row.values())[1:])
+    back = {k: [] for k in range(len(parts))}
+    for part in sorted(messages):
+        for block, levels in sketch.merge_range(cells, messages[part]):
+            back[block].append(levels)
+    return [sketch.levels_at(cells, h, np.concatenate(back[k]) if back[k] else np.zeros(0, np.uint8)) for k, h in enumerate(parts)]
+
+
+@pytest.mark.parametrize("step", [1 << 24, 1 << 12])  # one count array a range, or many
+def test_sketch_overestimates_and_keeps_filtering(monkeypatch, step):
+    monkeypatch.setattr(sketch, "RANGE", step)
+    rng = np.random.default_rng(2)
+    for n in (1000, 200_000):  # the share of distinct identities that pass doesn't grow with the input
+        distinct = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        twice = distinct[: n // 10]
+        parts = [*np.array_split(distinct, 7), twice, np.zeros(0, np.uint64), np.repeat(twice[:5], 3)]
+        cells = sketch.Cells(n, len(parts))
+        got = merged(cells, parts)
+        truth = dict(zip(*np.unique(np.concatenate(parts), return_counts=True), strict=True))
+        for h, level in zip(parts, got, strict=True):
+            assert all(x >= y for x, y in zip(level.tolist(), sketch.level_of(np.array([truth[v] for v in h.tolist()])).tolist(), strict=True))
+        alone = np.concatenate(got[:7])[n // 10 :]
+        assert (alone > 0).mean() < 0.15
+
+
+def test_blocks_keep_every_row(spark, docs, monkeypatch):
+    monkeypatch.setattr(sketch, "BLOCK_BYTES", 200)
+    rows = [(k, "w" * (k % 50)) for k in range(100)] + [(None, None), (100, "x" * 5000)]
+    blocks = sketch.pack(docs(rows), "text").collect()
+    got = [(r["doc_id"], r["text"]) for b in blocks for r in sketch.from_bytes(b.rows).to_pylist()]
+    assert sorted(got, key=str) == sorted(rows, key=str) and len({b.block for b in blocks}) == len(blocks) > 10
+    assert sum(b.size for b in blocks) == sum(len(t or "") for _, t in rows)
 
 
 # --- tokens
@@ -92,6 +146,9 @@ def test_passages_against_brute_force(docs, prose):
     hot = prose(30, 99)
     rows = [(k, prose(40, k) + (" " + hot if k % 2 else "") + "\n" + prose(20, k + 1000)) for k in range(40)]
     rows += [(100, rows[3][1]), (101, rows[3][1]), (102, "a " * 60), (103, "b " + "a " * 40), (104, None), (105, ""), (106, "short text"), (None, rows[5][1]), (107, " ".join(rows[7][1].split()[5:25])), (100, prose(30, 7)), (108, hot + " " + hot)]
+    w = thue_morse(2048)  # two long words that a polynomial hash would take for one
+    rows += [(200, "a b c d e f g h i j k l " + w), (201, "a b c d e f g h i j k l " + w.translate({97: 98, 98: 97})), (202, prose(30_000, 9)), (203, prose(30_000, 9) + " end")]
+    rows += [(300 + k, prose(20, 300)) for k in range(200)]
     rows.append(rows[0])
     got = substring_dedup.remove_repeats(docs(rows))
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str) == removed(rows)
@@ -141,6 +198,29 @@ def test_similarity_against_brute_force(docs, prose):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == component_of(rows)
 
 
+def test_similarity_of_hard_cases(docs, prose):
+    w = thue_morse(2048)
+    head = " ".join(f"h{k}" for k in range(8))
+    rows = [(1, f"{head} {w}"), (2, f"{head} {w.translate({97: 98, 98: 97})}")]  # unlike only in a long word
+    rows += [(10 + k, f"of the in that {k} light") for k in range(300)]  # short, with frequent words
+    hot = "this passage is in very many documents that are not alike"
+    rows += [(1000 + k, f"{hot} {prose(3, k)}") for k in range(300)]
+    chain = [f"c{k}" for k in range(400)]
+    rows += [(2000 + k, " ".join(chain[k * 4 : k * 4 + 60])) for k in range(80)]  # each links with the next only
+    rows += [(3000, prose(20_000, 11)), (3001, edited(prose(20_000, 11), 50, 1))]
+    got = jaccard_join.join_components(docs(rows))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == component_of(rows)
+
+
+def test_groups_of_equal_prefix(docs):
+    # the first shingles in the order are in two texts each, the rest in many: sizes and prefixes agree, the sets don't
+    tail = lambda k: " ".join(f"t{(k + j) % 12}" for j in range(14))
+    rows = [(100 * g + k, " ".join(f"g{g}x{j}" for j in range(12)) + " " + tail(k)) for g in range(6) for k in range(12)]
+    rows += [(5000 + k, tail(k) + " " + tail(k + 3)) for k in range(12) for _ in range(9)]
+    got = jaccard_join.join_components(docs(rows))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == component_of(rows)
+
+
 def test_similarity_of_nothing(docs):
     assert jaccard_join.join_components(docs([])).count() == 0
     assert [(r.doc_id, r.component_id) for r in jaccard_join.join_components(docs([(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 1), (2, 2)]
@@ -148,8 +228,9 @@ def test_similarity_of_nothing(docs):
 
 def test_keep_one(docs, prose):
     base = prose(80, 1)
-    rows = [(5, base), (3, base), (3, base), (9, edited(base, 1, 2)), (7, prose(80, 2)), (8, None), (None, base)]
-    assert sorted((r.doc_id for r in jaccard_join.keep_one(docs(rows)).collect()), key=str) == sorted([3, 7, 8, None], key=str)
+    rows = [(5, base), (3, base), (3, base), (9, edited(base, 1, 2)), (7, prose(80, 2)), (8, None), (None, base), (None, None), (3, ""), (3, None), (3, prose(80, 4)), (8, "")]
+    want = [(3, base), (7, prose(80, 2)), (8, None), (None, base), (None, None), (3, ""), (3, None), (3, prose(80, 4)), (8, "")]
+    assert sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(docs(rows)).collect()), key=str) == sorted(want, key=str)
 
 
 def test_components(spark):

@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame, rows: int = 0) -> DataFrame:
-    """Cut the lineage with a checkpoint that every executor can read.
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table that every executor can read; its lineage ends there.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests, a laptop) a folder under the warehouse is used. With ``rows``
-    the result has a partition for so many rows and not one for each shuffle
-    partition, so that small tables don't make a file for each of these in
-    every later shuffle.
+    unset (tests, a laptop) a folder under the warehouse is used. Scans of the
+    table group its files by size, so small tables don't make small tasks.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/.checkpoints")
-    kept = df.checkpoint()
-    return kept.coalesce(max(1, -(-kept.count() // rows))) if rows else kept
-
-
-#: Rows of a partition of narrow tables.
-NARROW = 250_000
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/.checkpoints"
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in ``links``; a component's name is its least node.
 
-    Each step only joins links with the least neighbour of a node, which is
-    aggregated map-side first, so a node with very many links needs no task of
-    its own. Self-links and repeated links are allowed, links with a null are
+    The least neighbour of a node is aggregated map-side first; links then join
+    one row a node, so the links of a hub can be split among tasks (by adaptive
+    execution) like those of any large key. Self-links and repeated links are allowed, links with a null are
     ignored.
     """
     edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     loops = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    edges = durable(edges.where("u < v"), NARROW)
+    edges = durable(edges.where("u < v"))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
@@ -49,7 +45,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # now every link goes from a smaller to a larger node
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.col("m").alias("u"), F.col("u").alias("w"), "v")
-        edges = durable(small.select("u", F.explode(F.array("w", "v")).alias("v")).where("u < v").distinct(), NARROW)
+        edges = durable(small.select("u", F.explode(F.array("w", "v")).alias("v")).where("u < v").distinct())
         before, now = now, state(edges)
     members = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()

@@ -1,14 +1,18 @@
-"""Count-min sketch of 64-bit identities that tells which may occur twice.
-
-Counters saturate at two, so a partition's sketch is two sets of cells: seen,
-and seen again. Partitions emit them as byte-coded gaps, cut into ranges of
-cells; each range is merged by one task that streams its partial sketches, so
-no task holds more than one range. The merged sketch never misses a repeated
-identity; collisions only make it report too many.
-
-The cells are bounded by ``MAX_CELLS``; that bounds what is collected and
-broadcast (``DEPTH * MAX_CELLS / 8`` bytes) at any input size. Beyond it the
-sketch lets more through, and exactness still comes from the later pass.
+"""Count-min sketch whose cells are merged and tested in place, range by range.
+
+Texts are packed once into blocks (``pack``), each a row of a written table, so
+that a text has a fixed address and later passes read compressed rows. Every
+block sketches its identities: the sorted distinct cells they fall into, and
+how often if more than once. The cells are cut into ranges of their high bits;
+each range's partial sketches go to one task, which adds them up and returns to
+every block the merged count at the block's own cells (``estimates``). A count
+is never less than the true one, as collisions only add to it.
+
+There are ``LOAD`` cells or more for each expected identity at any input size,
+so the share of distinct identities that look repeated stays small; nothing is
+collected or broadcast. A partial sketch costs about two bytes an identity (cell
+gaps are Golomb-Rice coded), the reply about a bit. An identity comes once from
+each block, so frequent ones don't crowd their range.
 """
 
 from __future__ import annotations
@@ -17,113 +21,231 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CELLS = 1 << 28
-MIN_CELLS = 1 << 16
-DEPTH = 2
-RANGE = 1 << 22
-#: Identities gathered before a partial sketch is emitted.
-FLUSH = 4 << 20
+from .components import durable
+from .textkernel import chunks
 
+#: Text of a block; one longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
+#: Most rows of a block, so that a block and a row fit one address.
+ROW_BITS = 20
+#: Cells for each expected identity, at least.
+LOAD = 8
+#: Cells of a range at least, which are also those that a task counts at once, and at most.
+RANGE, WIDEST = 1 << 24, 1 << 27
+#: Identities that a block should have in a range, so that messages don't cost more than cells.
+DENSE = 4096
 
-def cells_for(expected: int, most: int = MAX_CELLS) -> int:
-    """Cells, a power of two, for so many identities."""
-    return min(most, max(MIN_CELLS, 1 << max(0, int(2 * expected - 1).bit_length())))
 
+# --- blocks
 
-def cell(h: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return ((h >> np.uint64(32 * row)) & np.uint64(cells - 1)).astype(np.uint32)
 
+def to_bytes(batch: pa.RecordBatch) -> bytes:
+    """Rows as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=1).compress(memoryview(sink.getvalue()))
 
-def pack_gaps(x: np.ndarray) -> bytes:
-    """Sorted distinct numbers as bytes: a gap is any number of 255s and a rest."""
-    gap = np.diff(x.astype(np.int64), prepend=0)
-    more = gap // 255
-    out = np.full(int(more.sum()) + len(x), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = gap - 255 * more
-    return out.tobytes()
-
-
-def unpack_gaps(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    return np.cumsum(raw, dtype=np.int64)[raw != 255]
-
-
-def _partial(h: np.ndarray, cells: int) -> pa.RecordBatch:
-    ids, ones, twos = [], [], []
-    step = min(RANGE, cells)
-    for row in range(DEPTH):
-        c = np.sort(cell(h, row, cells))
-        new = np.concatenate(([True], c[1:] != c[:-1])) if len(c) else np.zeros(0, bool)
-        one, again = c[new], c[~new]
-        two = again[np.concatenate(([True], again[1:] != again[:-1]))] if len(again) else again
-        bounds = np.arange(0, cells + 1, step)
-        a, b = np.searchsorted(one, bounds), np.searchsorted(two, bounds)
-        for k in range(len(bounds) - 1):
-            if a[k + 1] > a[k]:
-                ids.append(row * (cells // step) + k)
-                ones.append(pack_gaps(one[a[k] : a[k + 1]] - np.uint32(k * step)))
-                twos.append(pack_gaps(two[b[k] : b[k + 1]] - np.uint32(k * step)))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["part", "one", "two"])
-
-
-def repeated_cells(table: DataFrame, identities: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int, most: int = MAX_CELLS) -> np.ndarray:
-    """Bits (DEPTH rows, packed) of the cells that at least two identities of ``table`` fall into.
-
-    ``identities`` turns a partition's batches into arrays of 64-bit identities.
-    """
-    cells = cells_for(expected, most)
-    step = min(RANGE, cells)
-
-    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for h in identities(batches):
-            held.append(h)
-            size += len(h)
-            if size >= FLUSH:
-                yield _partial(np.concatenate(held), cells)
-                held, size = [], 0
-        if size:
-            yield _partial(np.concatenate(held), cells)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, one, two = None, np.zeros(step, bool), np.zeros(step, bool)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(two).tobytes()], pa.binary())], ["part", "bits"])
+def from_bytes(data: memoryview | bytes) -> pa.RecordBatch:
+    raw = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    with pa.ipc.open_stream(raw) as rows:
+        return rows.read_all().combine_chunks().to_batches()[0]
+
+
+def pack(rows: DataFrame, text: str) -> DataFrame:
+    """(block, size, rows): ``rows`` in blocks of about ``BLOCK_BYTES`` of text, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
+        held: list[pa.RecordBatch] = []
+        size = count = 0
+
+        def out() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([to_bytes(whole)], pa.binary())], ["block", "size", "rows"])
+
         for batch in batches:
-            for p, a, b in zip(*(batch.column(k) for k in range(3)), strict=True):
-                if p.as_py() != part:
-                    if part is not None:
+            for at in range(0, batch.num_rows, 1 << ROW_BITS):
+                for piece, data, _ in chunks(batch.slice(at, 1 << ROW_BITS), text, BLOCK_BYTES // 4):
+                    if held and (size + len(data) > BLOCK_BYTES or count + piece.num_rows > 1 << ROW_BITS):
                         yield out()
-                    part = p.as_py()
-                    one[:] = two[:] = False
-                at = unpack_gaps(a.as_py())
-                two[at] |= one[at]
-                one[at] = True
-                two[unpack_gaps(b.as_py())] = True
-        if part is not None:
+                        block, held, size, count = block + 1, [], 0, 0
+                    held.append(piece)
+                    size, count = size + len(data), count + piece.num_rows
+        if held:
             yield out()
 
-    rows = table.mapInArrow(partials, "part int, one binary, two binary").repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary").toArrow()
-    bits = np.zeros((DEPTH, cells // 8), np.uint8)
-    flat = bits.reshape(-1, step // 8)
-    for p, b in zip(rows.column("part").to_pylist(), rows.column("bits"), strict=True):
-        flat[p] = np.frombuffer(b.as_buffer(), np.uint8)
-    return bits
+    return durable(rows.mapInArrow(run, "block long, size long, rows binary"))
 
 
-def maybe_repeated(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Where the estimate of an identity's count is two or more."""
-    cells = bits.shape[1] * 8
-    ok = np.ones(len(h), bool)
-    for row in range(len(bits)):
-        c = cell(h, row, cells)
-        ok &= (bits[row][c >> np.uint32(3)] >> (np.uint32(7) - (c & np.uint32(7))).astype(np.uint8)) & np.uint8(1) == 1
-    return ok
+def volume(blocks: DataFrame) -> int:
+    """Bytes of all texts."""
+    return int(blocks.select(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
 
 
-def text_volume(docs: DataFrame, text: str = "text") -> int:
-    """Bytes of all texts."""
-    return int(docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+# --- sorted numbers as bytes
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted numbers by Golomb-Rice coded gaps: count, parameter, unary parts, low parts."""
+    if not len(x):
+        return b""
+    gap = np.diff(x.astype(np.int64), prepend=0)
+    k = max(0, int(np.log2(max(1.0, float(x[-1]) / len(x)))))
+    high = np.cumsum((gap >> k) + 1)
+    unary = np.zeros(int(high[-1]), bool)
+    unary[high - 1] = True
+    low = (gap[:, None] >> np.arange(k)) & 1 if k else np.zeros((len(x), 0), np.int64)
+    return np.array([len(x), k], np.int64).tobytes() + np.packbits(unary).tobytes() + np.packbits(low.astype(bool)).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    n, k = np.frombuffer(data, np.int64, 2).tolist()
+    bits = -(-n * k // 8)
+    raw = np.frombuffer(data, np.uint8, offset=16)
+    high = np.diff(np.flatnonzero(np.unpackbits(raw[: len(raw) - bits])), prepend=-1) - 1
+    low = np.unpackbits(raw[len(raw) - bits :], count=n * k).reshape(n, k)
+    value = high.astype(np.int64) << k
+    for j in range(k):
+        value += low[:, j].astype(np.int64) << j
+    return np.cumsum(value)
+
+
+# --- the sketch
+
+
+class Cells:
+    """How identities map to cells, and cells to ranges, for so many identities and blocks."""
+
+    def __init__(self, expected: int, blocks: int) -> None:
+        self.bits = max(16, int(LOAD * expected - 1).bit_length() if expected else 16)
+        dense = int(LOAD * DENSE * max(1, blocks) - 1).bit_length()
+        self.range_bits = min(self.bits, max(RANGE.bit_length() - 1, dense), WIDEST.bit_length() - 1)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.bits)
+
+    def split(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges that sorted cells fall into, and the bounds of each."""
+        part = cells >> np.uint64(self.range_bits)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+        return part[first].astype(np.int64), np.append(first, len(part))
+
+
+def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their counts."""
+    h = np.sort(h)
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h)))
+
+
+def order_of(x: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of numbers below 2**``bits``; sorting number and place in one is several times faster."""
+    places = max(1, len(x) - 1).bit_length()
+    if bits + places > 64:
+        return np.argsort(x, kind="stable")
+    both = np.sort(x << np.uint64(places) | np.arange(len(x), dtype=np.uint64))
+    return (both & np.uint64((1 << places) - 1)).astype(np.int64)
+
+
+def level_of(count: np.ndarray) -> np.ndarray:
+    """Counts on a scale of quarters of a factor of two: 0 is one, 4 is two."""
+    return np.minimum(255, np.round(4 * np.log2(np.maximum(count, 1)))).astype(np.uint8)
+
+
+def partial_sketch(cells: Cells, block: int, h: np.ndarray) -> pa.RecordBatch:
+    """(part, block, cells, again, counts) of each range that a block's identities fall into."""
+    distinct, count = counted(cells.of(h))
+    parts, bounds = cells.split(distinct)
+    inner = np.uint64((1 << cells.range_bits) - 1)
+    rows = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        again = np.flatnonzero(count[a:b] > 1)
+        rows.append((pack_sorted(distinct[a:b] & inner), pack_sorted(again), count[a:b][again].astype(np.uint32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(np.full(len(parts), block), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], ["part", "block", "cells", "again", "counts"])
+
+
+def merge_range(cells: Cells, messages: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, levels of the merged counts at its cells) of one range."""
+    at, counts = [], []
+    for _, packed, again, many in messages:
+        at.append(unpack_sorted(packed).astype(np.uint32))
+        counts.append((unpack_sorted(again), np.frombuffer(many, np.uint32)))
+    levels = [np.zeros(len(x), np.uint8) for x in at]
+    step = min(RANGE, 1 << cells.range_bits)
+    total = np.zeros(step, np.uint32)
+    for low in range(0, 1 << cells.range_bits, step):
+        bounds = [np.searchsorted(x, (low, low + step)) for x in at]
+        total[:] = 0
+        for x, (a, b), (again, many) in zip(at, bounds, counts, strict=True):
+            more = np.ones(b - a, np.uint32)
+            inside = slice(*np.searchsorted(again, (a, b)))
+            more[again[inside] - a] = many[inside]
+            total[x[a:b] - np.uint32(low)] += more
+        for x, (a, b), out in zip(at, bounds, levels, strict=True):
+            out[a:b] = level_of(total[x[a:b] - np.uint32(low)])
+    for (block, *_), out in zip(messages, levels, strict=True):
+        yield block, out
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Messages (all columns but the first) of each value of the first column, by which they are sorted."""
+    part, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for p, *row in zip(*columns, strict=True):
+            if p != part and held:
+                yield part, held
+                held = []
+            part = p
+            held.append(tuple(row))
+    if held:
+        yield part, held
+
+
+def estimates(blocks: DataFrame, identities: Callable[[pa.RecordBatch], np.ndarray], cells: Cells) -> DataFrame:
+    """(block, levels): for every block the merged levels of its sorted distinct cells, compressed.
+
+    ``identities`` gives the 64-bit identities of a block's rows.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield partial_sketch(cells, block, identities(from_bytes(rows.as_buffer())))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, messages in by_part(batches):
+            squeeze = zstandard.ZstdCompressor(level=1)
+            for block, levels in merge_range(cells, messages):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([squeeze.compress(levels)], pa.binary())], ["block", "part", "levels"])
+
+    messages = blocks.select("block", "rows").mapInArrow(sketch, "part long, block long, cells binary, again binary, counts binary")
+    replies = messages.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "block long, part long, levels binary")
+    return replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("levels"))
+
+
+def read_levels(replies: list[dict] | None) -> np.ndarray:
+    """Levels of a block's sorted distinct cells from its replies."""
+    loose = zstandard.ZstdDecompressor()
+    found = [np.frombuffer(loose.decompress(r["levels"]), np.uint8) for r in replies or []]
+    return np.concatenate(found) if found else np.zeros(0, np.uint8)
+
+
+def levels_at(cells: Cells, h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The level of each identity of a block."""
+    c = cells.of(h)
+    order = order_of(c, cells.bits)
+    new = np.zeros(len(c), np.int64)
+    new[1:] = c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(c), np.uint8)
+    out[order] = levels[np.cumsum(new)]
+    return out

@@ -4,188 +4,196 @@ Words are runs of anything but ASCII white space; a window is ``size``
 consecutive words. A window is a repeat if its word sequence also starts in a
 document with a smaller id; every word that a repeat covers is removed.
 
-0. A text that a smaller id also has whole is a repeat throughout; such copies
-   are one row each and take no part in what follows (``MAX_COPIES``).
-1. Each partition sketches its window identities; the merged count-min sketch
-   overestimates their counts, so no repeat is lost (``sketch``).
-2. Only windows estimated to occur twice are shuffled, by a 96-bit identity,
-   and grouped exactly. Before that each partition keeps, of equal windows,
-   the one of the smallest document: the others are repeats already, so a
-   window of any number of documents reaches its group as a few rows, and runs
-   of repeats are one row.
-3. The decisions return to their documents by id, the words are dropped.
+1. Texts are packed into blocks, and each block sketches its window identities.
+   The merged count-min sketch overestimates their counts, so no repeat is lost
+   (``sketch``); every block gets the estimates of its own windows back.
+2. Only windows estimated to occur twice go on. A block sends each of them once,
+   as a 96-bit identity with the least id that has it in the block, to the task
+   of its range of identities. That task groups them exactly and answers which
+   of them start in a smaller document of another block.
+3. The answers return to their blocks, and the covered words are dropped.
+
+Blocks carry all columns, so results need no join with ``docs``. A window of
+any number of documents reaches its group as one entry a block, so no group
+outgrows a task however often its text is copied.
 
 Edge cases: null and empty texts have no words; a null id neither counts nor
 loses words; rows with equal ids and unequal texts are judged each, rows that
-repeat whole get equal results; texts shorter than a window stay whole;
-clashing result columns are replaced, others kept; an empty table gives an
-empty result.
+repeat whole get equal results; texts shorter than a window stay whole, texts
+of any length are taken whole; clashing result columns are replaced, others
+kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
-from .components import NARROW, durable
 from .sentencepiece_bpe import take_runs
-from .textkernel import HASH, HASH_2, as_long, chunks, mix, window_starts, words_of
+from .textkernel import HASH, HASH_2, Words, chunks, find_words, window_starts
 
 SIZE = 13
-#: Candidate windows gathered before equal ones of a partition are reduced.
-GATHER = 1 << 19
-#: Most classes of equal texts whose list is broadcast; beyond that copies go through their windows like any text.
-MAX_COPIES = 200_000
-_KEY = "__text_key"
-
-
-def _candidates(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Reduce flagged windows of a partition: (h1, h2, doc, key, row, pos) in scan order."""
-    h1, h2, doc, key, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h1, kind="stable")
-    h1, h2, doc, key, row, pos = (x[order] for x in (h1, h2, doc, key, row, pos))
-    new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+#: Names of the text and the id within a block.
+_TEXT, _DOC = "__text", "__doc"
+
+
+class Scan(NamedTuple):
+    """A block's pieces with their words, and its windows: identities, word index in the block, and id."""
+
+    pieces: list[tuple[pa.RecordBatch, np.ndarray, Words]]
+    h1: np.ndarray
+    h2: np.ndarray
+    at: np.ndarray
+    doc: np.ndarray
+
+
+def scan_block(batch: pa.RecordBatch, size: int, second: bool = True) -> Scan:
+    """Words and windows of a block; windows of rows without an id are left out."""
+    pieces, h1, h2, at, doc = [], [], [], [], []
+    words = 0
+    for piece, data, off in chunks(batch, _TEXT):
+        start, end, first = find_words(data, off)
+        w = Words(start, end, HASH.spans(data, start, end), first)
+        ids = piece.column(piece.schema.get_field_index(_DOC))
+        where, row = window_starts(first, size)
+        named = np.array(ids.is_valid())[row]
+        where, row = where[named], row[named]
+        h1.append(HASH.windows(w.hash, size)[where])
+        if second:
+            h2.append((HASH_2.windows(HASH_2.spans(data, start, end), size)[where] >> np.uint64(32)).astype(np.uint32))
+            at.append(where + words)
+            doc.append(ids.fill_null(0).to_numpy()[row])
+            pieces.append((piece, data, w))
+        words += len(start)
+    return Scan(pieces, *(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h1, np.uint64), (h2, np.uint32), (at, np.int64), (doc, np.int64))))
+
+
+class Entries(NamedTuple):
+    """A block's windows estimated to repeat, in order of identity, and its distinct ones: index of the first, least id."""
+
+    window: np.ndarray
+    first: np.ndarray
+    least: np.ndarray
+
+
+def entries_of(s: Scan, levels: np.ndarray) -> Entries:
+    may = np.flatnonzero(levels > 0)
+    window = may[np.argsort(s.h1[may], kind="stable")]
+    h1, h2 = s.h1[window], s.h2[window]
+    new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))) if len(window) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
-    fresh = new.copy()
-    fresh[1:] |= row[1:] != row[:-1]  # of equal windows of one row the first stands for all
-    open_ = np.sort(order[fresh & (doc == least)])
-    sure = np.flatnonzero(fresh & (doc > least))
-    sure = sure[np.lexsort((pos[sure], row[sure]))]
-    s_row, s_pos = row[sure], pos[sure]
-    head = np.flatnonzero(np.concatenate(([True], (s_row[1:] != s_row[:-1]) | (s_pos[1:] != s_pos[:-1] + 1)))) if len(sure) else np.zeros(0, np.int64)
-    run = np.diff(np.append(head, len(sure)))
-    top = order[sure[head]]
-    # back in scan order, where all but the identities repeats from row to row and compresses away
-    h1, h2, doc, key, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    both = np.concatenate((open_, top))
-    names = np.concatenate((h1[open_], mix(key[top].view(np.uint64) + pos[top].astype(np.uint64))))
-    tail = np.concatenate((h2[open_] >> np.uint64(32), np.zeros(len(top), np.uint64))) << np.uint64(32) | pos[both].astype(np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(doc[both], pa.int64()), pa.array(key[both], pa.int64()), pa.array(np.concatenate((np.zeros(len(open_), np.int64), run)), pa.int64()), as_long(names), as_long(tail)], ["doc", "key", "run", "h1", "tail"])
-
-
-def _copies(piece: pa.RecordBatch, rows: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
-    """Whole texts that a smaller id also has: all their windows are repeats."""
-    doc, key = (piece.column(piece.schema.get_field_index(c)).take(pa.array(rows)) for c in ("doc", "key"))
-    names = mix(key.to_numpy().view(np.uint64) ^ doc.to_numpy().view(np.uint64))
-    return pa.RecordBatch.from_arrays([doc, key, pa.array(windows, pa.int64()), as_long(names), pa.array(np.zeros(len(rows), np.int64))], ["doc", "key", "run", "h1", "tail"])
-
-
-def _with_copies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc, key, text, copy) of rows with an id; a copy is a text that a smaller id has, by 96 bits and its length."""
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.hash(text).alias("second"), F.octet_length(text).alias("size"), F.col(text).alias(text))
-    same = ["key", "second", "size"]
-    classes = durable(rows.where("size > 0").groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(*same, "least"), NARROW)
-    if classes.count() > MAX_COPIES:
-        return rows.select("doc", "key", text, F.lit(False).alias("copy"))
-    return rows.join(F.broadcast(classes), same, "left").select("doc", "key", text, F.coalesce(F.col("doc") > F.col("least"), F.lit(False)).alias("copy"))
+    return Entries(window, first, np.minimum.reduceat(s.doc[window], first) if len(first) else np.zeros(0, np.int64))
+
+
+def message(s: Scan, e: Entries, block: int, part_bits: int) -> pa.RecordBatch:
+    """(part, block, h1, h2, docs, which): the distinct windows of a block for each range of identities."""
+    h1, h2 = s.h1[e.window[e.first]], s.h2[e.window[e.first]]
+    part = h1 >> np.uint64(64 - part_bits)
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    inner = np.uint64((1 << (64 - part_bits)) - 1)
+    rows = []
+    for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
+        docs, which = np.unique(e.least[a:b], return_inverse=True)
+        rows.append((sketch.pack_sorted(h1[a:b] & inner), h2[a:b].tobytes(), docs.tobytes(), which.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32).tobytes()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[cut].astype(np.int64)), pa.array(np.full(len(cut), block), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(4))], ["part", "block", "h1", "h2", "docs", "which"]
+    )
+
+
+def group_exactly(messages: list[tuple[int, bytes, bytes, bytes, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(block, bit of each of its entries: a smaller id has the window) of one range."""
+    h1 = [sketch.unpack_sorted(m[1]) for m in messages]
+    docs = []
+    for h, (_, _, _, table, which) in zip(h1, messages, strict=True):
+        known = np.frombuffer(table, np.int64)
+        docs.append(known[np.frombuffer(which, np.uint16 if len(which) == 2 * len(h) else np.uint32)])
+    sizes = [len(h) for h in h1]
+    h, g, d = np.concatenate(h1), np.concatenate([np.frombuffer(m[2], np.uint32) for m in messages]), np.concatenate(docs)
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
+    least = np.repeat(np.minimum.reduceat(d[order], first), np.diff(np.append(first, len(h))))
+    smaller = np.empty(len(h), bool)
+    smaller[order] = least < d[order]
+    for (block, *_), bits in zip(messages, np.split(smaller, np.cumsum(sizes)[:-1]), strict=True):
+        yield block, np.packbits(bits).tobytes()
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without ``text`` but with ``n_words``, ``n_removed`` and ``kept`` (the kept words joined by one space)."""
-    spark = docs.sparkSession
-    expected = sketch.text_volume(docs, text) // 6
-    source = _with_copies(docs, text, doc_id)
-
-    def identities(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for _, data, off in chunks(batch, text):
-                w = words_of(data, off)
-                at, _ = window_starts(w.first, size)
-                yield HASH.windows(w.hash, size)[at]
-
-    bits = spark.sparkContext.broadcast(sketch.repeated_cells(source.where("NOT copy").select(text), identities, expected))
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        held = rows = 0
-        for batch in batches:
-            for piece, data, off in chunks(batch, text):
-                w = words_of(data, off)
-                copy = np.array(piece.column(piece.schema.get_field_index("copy")), bool)
-                whole = np.flatnonzero(copy & (np.diff(w.first) >= size))
-                if len(whole):
-                    yield _copies(piece, whole, np.diff(w.first)[whole] - size + 1)
-                at, doc = window_starts(w.first, size)
-                h1 = HASH.windows(w.hash, size)[at]
-                hit = np.flatnonzero(sketch.maybe_repeated(bits.value, h1) & ~copy[doc])
-                if len(hit):
-                    at, doc = at[hit], doc[hit]
-                    second = words_of(data, off, hasher=HASH_2).hash
-                    ids, keys = (piece.column(piece.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc", "key"))
-                    parts.append((h1[hit], HASH_2.windows(second, size)[at], ids[doc].astype(np.int64), keys[doc].astype(np.int64), rows + doc, at - w.first[doc]))
-                    held += len(hit)
-                rows += piece.num_rows
-                if held >= GATHER:
-                    yield _candidates(parts)
-                    parts, held = [], 0
-        if held:
-            yield _candidates(parts)
-
-    # run 0: a window to be grouped, by 96 bits (h1 and the upper half of tail, whose lower half is the position)
-    found = source.mapInArrow(flag, "doc long, key long, run long, h1 long, tail long").repartition("h1")
-    least = F.min("doc").over(Window.partitionBy("h1", F.shiftright("tail", 32)))
-    repeats = found.withColumn("least", least).where((F.col("run") > 0) | (F.col("doc") > F.col("least")))
-    span = F.shiftleft(F.col("tail").bitwiseAND(F.lit((1 << 32) - 1)), 32).bitwiseOR(F.greatest(F.col("run"), F.lit(1)))
-    spans = repeats.select("doc", "key", span.alias("span")).groupBy("doc", "key").agg(F.collect_list("span").alias("__spans"))
-
     names = ("n_words", "n_removed", "kept")
     rest = [c for c in docs.columns if c not in (text, *names)]
-    whole = docs.select(*rest, F.col(text).alias("__text"), F.xxhash64(text).alias(_KEY))
-    joined = whole.join(spans, (whole[doc_id].cast("long") == spans["doc"]) & (whole[_KEY] == spans["key"]), "left")
-    joined = joined.select(*(whole[c] for c in rest), "__text", "__spans")
+    blocks = sketch.pack(docs.select(*rest, F.col(text).alias(_TEXT), F.col(doc_id).cast("long").alias(_DOC)), _TEXT)
+    cells = sketch.Cells(sketch.volume(blocks) // 6, blocks.count())
+    part_bits = max(1, cells.bits - cells.range_bits + 2)
+    estimated = sketch.estimates(blocks, lambda rows: scan_block(rows, size, second=False).h1, cells)
+    known = blocks.select("block", "rows").join(estimated, "block", "left")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows, levels in zip(*batch.columns, strict=True):
+                s = scan_block(sketch.from_bytes(rows.as_buffer()), size)
+                e = entries_of(s, sketch.levels_at(cells, s.h1, sketch.read_levels(levels.as_py())))
+                if len(e.first):
+                    yield message(s, e, block.as_py(), part_bits)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, messages in sketch.by_part(batches):
+            found = list(group_exactly(messages))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([part] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], ["block", "part", "bits"])
+
+    sent = known.mapInArrow(candidates, "part long, block long, h1 binary, h2 binary, docs binary, which binary").repartition("part").sortWithinPartitions("part")
+    answers = sent.mapInArrow(answer, "block long, part long, bits binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("answers"))
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("kept", T.StringType(), False)])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, off in chunks(batch, "__text"):
-                n, w = piece.num_rows, words_of(data, off)
-                gone = covered(piece, w, size)
-                start, length = w.start[~gone], (w.end - w.start)[~gone]
-                count = np.concatenate(([0], np.cumsum(~gone)))[w.first]
-                # words are copied with one byte in front of each, a space but for the first of a text
-                padded = np.concatenate((np.array([0x20], np.uint8), data))
-                idx = np.stack((start, start + length + 1), 1).reshape(-1)
-                out, _ = take_runs(padded, np.append(idx, len(padded)), np.arange(0, len(idx), 2))
-                at = np.concatenate(([0], np.cumsum(length + 1)))
-                out[at[:-1]] = 0x20
-                some = np.diff(count) > 0
-                out = np.delete(out, at[count[:-1][some]])
-                out_off = at[count] - np.concatenate(([0], np.cumsum(some)))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(piece.schema.get_field_index(c)) for c in rest]
-                    + [pa.array(np.diff(w.first), pa.int64()), pa.array(np.diff(w.first) - np.diff(count), pa.int64()), pa.StringArray.from_buffers(n, pa.py_buffer(out_off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out)))],
-                    [*rest, *names],
-                )
-
-    return joined.mapInArrow(drop, schema)
-
-
-def covered(piece: pa.RecordBatch, w, size: int) -> np.ndarray:
-    """Words of a chunk that a repeat covers, from the runs of repeated windows in ``__spans`` (position and length)."""
-    spans = piece.column(piece.schema.get_field_index("__spans"))
-    counts = np.array(pa.compute.fill_null(pa.compute.list_value_length(spans), 0))
-    gone = np.zeros(len(w.hash) + 1, np.int64)
-    if counts.sum():
-        doc = np.repeat(np.arange(len(counts)), counts)
-        packed = np.array(spans.flatten(), np.int64)
-        at, length = packed >> 32, packed & 0xFFFFFFFF
-        doc = np.repeat(doc, length)
-        at = np.repeat(at, length) + np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
-        marked = w.first[doc] + at
-        # equal windows of the same document share the decision
-        every, owner = window_starts(w.first, size)
-        inside = counts[owner] > 0
-        every, owner = every[inside], owner[inside]
-        h = HASH.windows(w.hash, size)
-        salt = mix(np.arange(len(counts), dtype=np.uint64) + np.uint64(1))
-        every = every[np.isin(h[every] ^ salt[owner], h[marked] ^ salt[doc])]
-        np.add.at(gone, every, 1)
-        np.add.at(gone, every + size, -1)
-    return np.cumsum(gone[:-1]) > 0
+            for rows, levels, found in zip(*batch.columns, strict=True):
+                s = scan_block(sketch.from_bytes(rows.as_buffer()), size)
+                e = entries_of(s, sketch.levels_at(cells, s.h1, sketch.read_levels(levels.as_py())))
+                gone = covered(s, e, part_bits, found.as_py() or [], size)
+                base = 0
+                for piece, data, w in s.pieces:
+                    yield without(piece, data, w, gone[base : base + len(w.start)], rest, names)
+                    base += len(w.start)
+
+    return known.join(answers, "block", "left").select("rows", "levels", "answers").mapInArrow(drop, schema)
+
+
+def covered(s: Scan, e: Entries, part_bits: int, answers: list[dict], size: int) -> np.ndarray:
+    """Words of a block that a repeat covers."""
+    words = sum(len(w.start) for _, _, w in s.pieces)
+    begins = np.zeros(words + 1, bool)
+    if len(e.first):
+        part = s.h1[e.window[e.first]] >> np.uint64(64 - part_bits)
+        sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)))
+        smaller = np.concatenate([np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=n) for a, n in zip(answers, sizes, strict=True)])
+        many = np.diff(np.append(e.first, len(e.window)))
+        repeat = np.repeat(smaller.astype(bool), many) | (s.doc[e.window] > np.repeat(e.least, many))
+        begins[s.at[e.window[repeat]]] = True
+    total = np.concatenate((np.zeros(size, np.int64), np.cumsum(begins[:-1])))
+    return total[size:] > total[:-size]
+
+
+def without(piece: pa.RecordBatch, data: np.ndarray, w: Words, gone: np.ndarray, rest: list[str], names: tuple[str, ...]) -> pa.RecordBatch:
+    """The rows of a piece with their remaining words, which are copied with one byte in front of each, a space but for a text's first."""
+    start, length = w.start[~gone], (w.end - w.start)[~gone]
+    count = np.concatenate(([0], np.cumsum(~gone)))[w.first]
+    padded = np.concatenate((np.array([0x20], np.uint8), data))
+    idx = np.stack((start, start + length + 1), 1).reshape(-1)
+    out, _ = take_runs(padded, np.append(idx, len(padded)), np.arange(0, len(idx), 2))
+    at = np.concatenate(([0], np.cumsum(length + 1)))
+    out[at[:-1]] = 0x20
+    some = np.diff(count) > 0
+    out = np.delete(out, at[count[:-1][some]])
+    out_off = at[count] - np.concatenate(([0], np.cumsum(some)))
+    kept = pa.StringArray.from_buffers(piece.num_rows, pa.py_buffer(out_off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out)))
+    n = np.diff(w.first)
+    return pa.RecordBatch.from_arrays([*(piece.column(piece.schema.get_field_index(c)) for c in rest), pa.array(n, pa.int64()), pa.array(n - np.diff(count), pa.int64()), kept], [*rest, *names])

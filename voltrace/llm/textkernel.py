@@ -2,8 +2,8 @@
 
 Every operator that needs word identities works on the UTF-8 bytes of a whole
 batch at once: words are located with a byte class table, and their 64-bit
-identities come from one polynomial prefix sum over the bytes, so no Python
-object per word is made. Separators are ASCII, which never occur inside a
+identities come from eight bytes at a time, so no Python object per word is
+made. Separators are ASCII, which never occur inside a
 multi-byte UTF-8 sequence, hence byte positions are safe word bounds.
 """
 
@@ -50,51 +50,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+class _Keys:
+    """Independent odd keys by position, grown on demand."""
+
+    def __init__(self, seed: int) -> None:
+        self.seed, self.known = _U(seed), np.zeros(0, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.known) < n:
+            at = np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64)
+            self.known = mix(at * _U(0x9E3779B97F4A7C15) + self.seed) | _U(1)
+        return self.known[:n]
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(0, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up[:n], self.down[:n]
+#: Keeps the first so many bytes of eight.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Hasher:
-    """One independent family of word and window identities."""
+    """One independent family of word and window identities.
+
+    A word is taken eight bytes at a time: each eight are mixed with the key of
+    their place, and the results summed, so words of up to eight bytes never
+    share an identity with one as long, and longer ones only by chance. (A
+    polynomial modulo 2**64 has words that agree under any base.) Windows sum
+    the words times the key of their place.
+    """
 
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + rng.integers(0, 2, 256, dtype=np.uint64)
-        self.bytes = _Powers(int(rng.integers(1 << 40, 1 << 62)) * 2 + 1)
-        self.words = _Powers(int(rng.integers(1 << 40, 1 << 62)) * 2 + 1)
+        self.bytes = _Keys(int(rng.integers(1 << 40, 1 << 62)))
+        self.words = _Keys(int(rng.integers(1 << 40, 1 << 62)))
 
     def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Identity of each byte span."""
-        up, down = self.bytes.upto(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * up[:-1], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        size = end - start
+        many = np.maximum((size + 7) >> 3, 1)
+        if int(many.max()) == 1:
+            total = mix(eights[start] & _FIRST_BYTES[size] ^ self.bytes.upto(1)[0])
+        else:
+            first = np.cumsum(many) - many
+            place = np.arange(int(many.sum())) - np.repeat(first, many)
+            left = np.minimum(np.repeat(size, many) - 8 * place, 8)
+            value = eights[np.repeat(start, many) + 8 * place] & _FIRST_BYTES[left]
+            total = np.add.reduceat(mix(value ^ self.bytes.upto(int(many.max()))[place]), first)
+        return mix(total + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def windows(self, words: np.ndarray, size: int) -> np.ndarray:
         """Identity of the run of ``size`` words at each position; the last ``size - 1`` positions are left out."""
-        n = len(words)
-        if n < size:
+        n = len(words) - size + 1
+        if n < 1:
             return np.zeros(0, np.uint64)
-        up, down = self.words.upto(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * up[:-1], out=total[1:])
-        return mix((total[size:] - total[:-size]) * down[: n - size + 1] + _U(size))
+        by = self.words.upto(size)
+        total = np.full(n, size, np.uint64)
+        for k in range(size):
+            total += words[k : k + n] * by[k]
+        return mix(total)
 
     def run(self, words: np.ndarray) -> int:
-        """Identity of a whole short sequence, comparable with ``windows`` of that size."""
-        return int(self.windows(words, len(words))[0])
+        """Identity of a whole sequence, comparable with ``windows`` of that size."""
+        by = self.words.upto(len(words))
+        return int(mix(np.array([(words * by).sum(dtype=np.uint64) + _U(len(words))], np.uint64))[0])
 
 
 HASH = Hasher(20240501)

@@ -56,9 +56,10 @@ def test_validation_bundle(spark):
     for e in ("A", "B"):
         rows += daily("demand", [100 + k % 9 for k in range(140)], e, dt.date(2024, 1, 1)) + daily("net_generation", [130] * 140, e, dt.date(2024, 1, 1)) + daily("wholesale_price", [20 + k % 7 for k in range(140)], e, dt.date(2024, 1, 1))
     got = refresh.validation_bundle(table(spark, rows), ("A", "B"), dt.date(2024, 1, 1), dt.date(2024, 12, 31), config=ScoreConfig(minimum_history_days=60), price_regions=("A",))
+    assert got["validation"]["duplicate_observation_ids"] == [] and got["validation"]["required_price_regions"] == ["A"]
     assert got["validation"]["violations"] == ["A:demand:insufficient_history", "A:net_generation:insufficient_history", "B:demand:insufficient_history", "B:net_generation:insufficient_history"]
     assert len(got["history"][0]["points"]) == 5 and len(got["sensitivity"]["region_summary"]) == 2 and [s["horizon_days"] for s in got["backtest"]["summaries"]] == [30, 90]
-    assert refresh.report.render_html({"regions": (), **got}).count("<polyline") == 2
+    assert refresh.page.render_html({"regions": (), **got}).count("<svg") == 2
 
 
 def test_workbook_rows_and_periods(spark, tmp_path):
@@ -70,3 +71,9 @@ def test_workbook_rows_and_periods(spark, tmp_path):
     with pytest.raises(ValueError):
         workbooks.wholesale_rows(rows)
     assert refresh.balance_periods(dt.date(2024, 8, 1), dt.date(2025, 2, 1)) == ["2024_Jul_Dec", "2025_Jan_Jun"]
+
+
+def test_queue_document(tmp_path):
+    assert refresh.queue_document(None) == {"schema_version": 1, "regions": []}
+    (tmp_path / "q.json").write_text(json.dumps({"source": "s", "benchmark": [{"region_id": "A"}]}))
+    assert refresh.queue_document(tmp_path / "q.json") == {"schema_version": 1, "dataset_as_of": None, "source": "s", "regions": [{"region_id": "A"}]}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voltrace import sources
 from voltrace.operators import quality
+from voltrace.plans import page as html_page
 from voltrace.plans import report, snapshot
 from voltrace.sources import http
 from voltrace.streaming import daily_peak_stream
@@ -174,8 +175,9 @@ def test_report_and_page(spark):
     assert demand["name"] == "demand_pressure" and len(demand["observation_ids"]) == 9 * 24
     part = report.build_report(table(spark, rows), None, ("ERCO", "PJM"), {}, AT, dt.date(2026, 6, 9), {"history": [{"region_id": "ERCO", "points": [{"pressure": 5.0}]}]})
     assert part["dataset_status"] == "partial" and part["unavailable_regions"][0]["region_id"] == "PJM"
-    page = report.render_html(part)
-    assert all(t in page for t in ("Regional overview", "Backtest summary", "Sensitivity range", "Company capital commitment", "Missing data: price_stress; Not modeled: execution_friction", "0.0,46.0 160.0,46.0"))
+    html = html_page.render_html(part)
+    assert all(t in html for t in ("Where pressure is highest", "Projects waiting", "price stress has no data; execution friction is outside the model", "Kinds of evidence", '<rect x="0" y="47.5"', "Nothing here."))
+    assert "<b>" not in html_page.render_html({"unavailable_regions": [{"region_id": "<b>", "reason": "x"}]})
     with pytest.raises(ValueError, match="no complete common day"):
         report.build_report(table(spark, rows), None, ("ERCO", "PJM"), {}, AT)
 
@@ -189,3 +191,49 @@ def test_daily_peak_stream(spark, tmp_path):
         assert [(r.entity_id, r.peak) for r in spark.table("peaks").collect()] == [("A", 5.0)]
     finally:
         q.stop()
+
+
+def test_files_keep_their_order(spark, tmp_path):
+    """The later file's row comes later, however large the files are."""
+    head = "Hub,Date,High\n"
+    (tmp_path / "a.csv").write_text(head + "Mass Hub,2026-06-01,1\n")
+    (tmp_path / "b.csv").write_text(head + "".join(f"Mass Hub,2026-06-{k % 28 + 1:02d},{k}\n" for k in range(500)))
+    (tmp_path / "c.csv").write_text(head + "Mass Hub,2026-06-01,3\n")
+    got = sources.read_wholesale(spark, [str(tmp_path / f"{n}.csv") for n in "bca"], AT).orderBy("ord").collect()
+    assert [r.value for r in got] == [1.0, *map(float, range(500)), 3.0]
+
+
+def test_observation_document(spark, tmp_path):
+    rows = [row(f"2026-07-02T{h:02d}", "ERCO", "Demand", h) for h in range(5)]
+    (tmp_path / "p.json").write_text(json.dumps(page(rows, "5")))
+    obs = sources.read_operating(spark, str(tmp_path / "p.json"), AT)
+    snapshot.write_document(obs, tmp_path / "out/obs.json")
+    held = json.loads((tmp_path / "out/obs.json").read_text())
+    assert held["schema_version"] == 1 and held["observations"][1]["period_start"].startswith("2026-07-02T01:00:00")
+    back = snapshot.read_document(spark, tmp_path / "out/obs.json")
+    cols = [c for c in obs.columns if c != "ord"]
+    assert back.select(cols).orderBy("period_start").collect() == obs.select(cols).orderBy("period_start").collect()
+    (tmp_path / "other.json").write_text('{"schema_version": 9, "observations": []}')
+    with pytest.raises(Exception, match="unsupported observation document"):
+        snapshot.read_document(spark, tmp_path / "other.json").collect()
+
+
+def test_waits_and_page_places():
+    error = HTTPError("u", 429, "slow", {"Retry-After": "2.5"}, None)
+    assert http.asked_wait(error, 9.0) == 2.5 and http.asked_wait(HTTPError("u", 429, "slow", {"Retry-After": "soon"}, None), 9.0) == 9.0
+    asked = []
+    found = {0: [1, 2], 3: [3], 6: []}
+    list(http.pages(lambda offset: str(asked.append(offset) or offset), lambda url: page(found[int(url)], 4), lambda s: None, length=3))
+    assert asked == [0, 3, 6]
+
+
+def test_unusable_filings(spark, tmp_path):
+    (tmp_path / "facts").mkdir()
+    path = tmp_path / "facts/x.json"
+    path.write_text('{"facts": {"us-gaap": {}}}')
+    with pytest.raises(Exception) as none:
+        sources.read_company_facts(spark, str(path), "1", AT).collect()
+    assert sources.is_unusable_filing(none.value)
+    with pytest.raises(Exception) as gone:
+        sources.read_company_facts(spark, str(tmp_path / "facts/none.json"), "1", AT).collect()
+    assert not sources.is_unusable_filing(gone.value)

@@ -25,6 +25,11 @@ def queue_benchmark(projects: DataFrame) -> DataFrame:
     )
 
 
+def project_documents(projects: DataFrame) -> DataFrame:
+    """(project): each project as a JSON object, dates in ISO form, an open operation date as null."""
+    return projects.select(F.to_json(F.struct("region_id", "status", F.col("request_date").cast("string").alias("request_date"), F.col("operation_date").cast("string").alias("operation_date"), "capacity_mw"), {"ignoreNullFields": "false"}).alias("project"))
+
+
 def check_projects(projects: DataFrame) -> DataFrame:
     """``projects``, failing on a blank region or status or a negative capacity."""
     bad = (F.trim("region_id") == "") | (F.trim("status") == "") | (F.col("capacity_mw") < 0)

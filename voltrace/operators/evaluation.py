@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import durable
 from ..schema import WEIGHT_SETS, DemandConfig, PriceConfig, ScoreConfig
 from . import scoring, signals
 
@@ -50,29 +51,29 @@ def backtest_rows(obs: DataFrame, dates: DataFrame, regions: Sequence[str] | Non
     steps = F.explode(F.array(*(F.lit(h) for h in horizons)))
     later = starts.withColumn("horizon_days", steps).withColumn("as_of_later", F.date_add("as_of", F.col("horizon_days")))
     grid = starts.unionByName(later.select("entity_id", F.col("as_of_later").alias("as_of"))).distinct()
-    scored = scoring.scores(obs, grid, config).select("entity_id", "as_of", "pressure", "confidence")
+    # regions by dates, used on both sides of the join below
+    scored = durable(scoring.scores(obs, grid, config).select("entity_id", "as_of", "pressure", "confidence"))
     then = scored.select("entity_id", F.col("as_of").alias("as_of_later"), F.col("pressure").alias("future"))
     rows = later.join(scored, ["entity_id", "as_of"]).join(then, ["entity_id", "as_of_later"])
     return rows.select("entity_id", "as_of", F.col("horizon_days").cast("int").alias("horizon_days"), F.round("pressure", 4).alias("signal_pressure"), F.round("future", 4).alias("future_pressure"), F.round(F.col("future") - F.col("pressure"), 4).alias("future_delta"), F.round("confidence", 4).alias("signal_confidence"))
 
 
-def rank_correlation(rows: DataFrame, left: str, right: str, by: str) -> DataFrame:
-    """(by, n, rho): Spearman with average ranks for ties; 0 if either side doesn't vary, null for a single row."""
+def rank_correlation(rows: DataFrame, left: str, right: str, by: str, **more: Column) -> DataFrame:
+    """(by, n, rho) and aggregates ``more`` of the same pass: Spearman with average ranks for ties; 0 if either side doesn't vary, null for a single row."""
 
     def average_rank(c: str):
         return F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2.0
 
-    r = rows.select(by, average_rank(left).alias("x"), average_rank(right).alias("y"))
+    r = rows.withColumns({"x": average_rank(left), "y": average_rank(right)})
     rho = F.coalesce(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), F.lit(0.0))
-    return r.groupBy(by).agg(F.count("*").alias("n"), F.when(F.count("*") > 1, rho).alias("rho"))
+    return r.groupBy(by).agg(F.count("*").alias("n"), F.when(F.count("*") > 1, rho).alias("rho"), *(c.alias(k) for k, c in more.items()))
 
 
 def backtest_summary(rows: DataFrame, horizons: Sequence[int] = (30, 90)) -> DataFrame:
     """(horizon_days, observations, spearman_rank_correlation, mean_future_delta), also for horizons without rows."""
     wanted = rows.sparkSession.createDataFrame([(int(h),) for h in horizons], "horizon_days int")
-    rho = rank_correlation(rows, "signal_pressure", "future_pressure", "horizon_days")
-    mean = rows.groupBy("horizon_days").agg(F.avg("future_delta").alias("mean"))
-    out = wanted.join(rho, "horizon_days", "left").join(mean, "horizon_days", "left")
+    found = rank_correlation(rows, "signal_pressure", "future_pressure", "horizon_days", mean=F.avg("future_delta"))
+    out = wanted.join(found, "horizon_days", "left")
     return out.select("horizon_days", F.coalesce("n", F.lit(0)).cast("long").alias("observations"), F.round("rho", 4).alias("spearman_rank_correlation"), F.round(F.col("mean") + TIE, 4).alias("mean_future_delta"))
 
 

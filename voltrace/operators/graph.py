@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import durable
+
 from ..schema import STAGES
 
 
@@ -27,24 +29,26 @@ def bad_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(source, target) of what is left when nodes without incoming edges are peeled off again and again; empty if acyclic.
 
-    Each round is a distributed anti-join, its lineage cut by a checkpoint in
-    the shared folder.
+    Each round is a distributed semi-join, its result a table in the shared
+    folder.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or edges.sparkSession.conf.get("spark.sql.warehouse.dir") + "/.checkpoints")
-    left = edges.select("source", "target").distinct().checkpoint()
+    left = durable(edges.select("source", "target").distinct())
     count = left.count()
     for _ in range(max_rounds):
         if not count:
             break
-        left = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target").checkpoint()
+        left = durable(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
         before, count = count, left.count()
         if before == count:
             break
     return left
 
 
+def node_ids(nodes: DataFrame, order: str = "ord") -> list[str]:
+    """Ids of a graph's nodes in the order in which they were declared."""
+    return [r.id for r in nodes.orderBy(order).select("id").collect()]
+
+
 def validate(nodes: DataFrame, edges: DataFrame) -> None:
     """Raise for the first kind of problem: nodes, then edges, then a cycle."""
     if problems := bad_nodes(nodes).orderBy("problem", "id").limit(1).collect():

@@ -54,14 +54,15 @@ def coverage(obs: DataFrame, start: dt.date, end: dt.date, regions: Sequence[str
 
 
 def gate_violations(obs: DataFrame, start: dt.date, end: dt.date, regions: Sequence[str] | None = None, min_metric_days: int = 365, min_price_days: int = 90, price_regions: Sequence[str] | None = None, keys: Sequence[str] = ("metric_id", "entity_id", "period_start")) -> DataFrame:
-    """(ordinal, violation) in a fixed order; empty if the release gates pass."""
+    """(ordinal, violation) in a fixed order: duplicates, then regions in the order given (else by name); empty if the release gates pass."""
     if start > end or min_metric_days <= 0 or min_price_days <= 0:
         raise ValueError("invalid window or minimum")
     found = coverage(obs, start, end, regions)
     priced = F.lit(True) if price_regions is None else F.col("entity_id").isin(*price_regions)
     needs = [(1, "demand", min_metric_days, F.lit(True)), (2, "net_generation", min_metric_days, F.lit(True)), (3, "wholesale_price", min_price_days, priced)]
     rows = F.array(*(F.when(ask & (F.col(f"{m}_days") < n), F.struct(F.lit(k).alias("k"), F.concat_ws(":", "entity_id", F.lit(m), F.lit("insufficient_history")).alias("violation"))) for k, m, n, ask in needs))
-    short = found.select("entity_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select(F.concat(F.lit("2:"), F.col("entity_id"), F.lit(":"), F.col("r.k").cast("string")).alias("ordinal"), "r.violation")
+    place = F.col("entity_id") if regions is None else F.lpad(F.array_position(F.lit(list(regions)), F.col("entity_id")).cast("string"), 6, "0")
+    short = found.select("entity_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select(F.concat(F.lit("2:"), place, F.lit(":"), F.col("r.k").cast("string")).alias("ordinal"), "r.violation")
 
     def any_of(d: DataFrame, ordinal: str, name: str) -> DataFrame:
         return d.limit(1).select(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("violation"))

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import hub_region, pressure_band, slug
 from ..operators import benchmarks, evaluation, graph, quality, scoring, signals
-from ..schema import COMPONENT_WEIGHTS, HUB_PREFIXES, WEIGHT_SETS
-from . import report, views
+from ..schema import COMPONENT_WEIGHTS, HUB_PREFIXES, HUB_REGIONS, WEIGHT_SETS
+from .. import sources
+from ..functions.tables import durable
+from . import payloads, report, views
 from .views import OBS_DAILY, OBS_HOURLY, QUEUE
 
+#: When the payloads count as read.
+_READ_AT = dt.datetime(2026, 1, 1)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -30,6 +34,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily observations as a table: plans that need several signals scan ``lineitem`` once."""
+    return durable(views.obs_daily(spark, sf_dir))
+
+
 # SQL that several queries share
 def _window(n: int) -> str:
     return f"(PARTITION BY entity_id ORDER BY day ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
@@ -92,7 +101,7 @@ def _grid(obs: DataFrame) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = views.obs_daily(spark, sf_dir)
+    obs = _daily(spark, sf_dir)
     return scoring.scores(obs, _grid(obs))
 
 
@@ -125,7 +134,7 @@ def price_percentile(spark, sf_dir):
 
 @query(f"WITH {OBS_DAILY}, {PEAKS}, {_price()}, {MONTHS}, {REGIONS}, {GRID} SELECT g.entity_id, g.as_of, p.day AS asof_day, p.peak, p.value FROM grid g ASOF LEFT JOIN price p ON g.entity_id = p.entity_id AND g.as_of >= p.day")
 def price_asof(spark, sf_dir):
-    obs = views.obs_daily(spark, sf_dir)
+    obs = _daily(spark, sf_dir)
     return signals.latest_on_or_before(_grid(obs), signals.price_signal(obs), ["peak", "value"])
 
 
@@ -165,13 +174,36 @@ def insight_cards(spark, sf_dir):
     return scoring.insights(_scored(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('A', DATE '2024-01-01', 57.0::DOUBLE, 1.0::DOUBLE), ('B', DATE '2024-01-01', 0.35::DOUBLE * 80 / 0.35::DOUBLE, 0.35::DOUBLE * 0.5::DOUBLE)) t(entity_id, as_of, pressure, confidence)")
+def _given_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals by supplier as a fixture gives them; some components have no value."""
+    key = F.col("s_suppkey")
+    value = lambda m, none: F.when(key % none != 0, ((key * m) % 101).cast("double"))
+    parts = [F.struct(F.lit(n).alias("name"), value(m, none).alias("value"), F.lit(c).alias("confidence")) for n, m, none, c in zip(COMPONENT_WEIGHTS, (7, 13, 17, 3), (1000, 5, 3, 2), (1.0, 0.5, 0.75, 0.25), strict=True)]
+    rows = views.read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("s"), key.cast("string")).alias("entity_id"), F.lit(dt.date(2024, 1, 1)).alias("as_of"), F.explode(F.array(*parts)).alias("r"))
+    return rows.select("s_suppkey", "entity_id", "as_of", "r.*")
+
+
+_STRICT = """given AS (SELECT 's' || s_suppkey AS entity_id, CASE WHEN s_suppkey % 1000 <> 0 THEN (s_suppkey * 7) % 101 END AS d, CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey * 13) % 101 END AS s,
+  CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey * 17) % 101 END AS p, CASE WHEN s_suppkey % 2 <> 0 THEN (s_suppkey * 3) % 101 END AS f FROM supplier),
+parts AS (SELECT entity_id, 0.35::DOUBLE * coalesce(d, 0) + 0.3::DOUBLE * coalesce(s, 0) + 0.2::DOUBLE * coalesce(p, 0) + 0.15::DOUBLE * coalesce(f, 0) AS total,
+  CASE WHEN d IS NULL THEN 0 ELSE 0.35::DOUBLE END + CASE WHEN s IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN p IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN f IS NULL THEN 0 ELSE 0.15::DOUBLE END AS weight,
+  CASE WHEN d IS NULL THEN 0 ELSE 0.35::DOUBLE END + CASE WHEN s IS NULL THEN 0 ELSE 0.15::DOUBLE END + CASE WHEN p IS NULL THEN 0 ELSE 0.15::DOUBLE END + CASE WHEN f IS NULL THEN 0 ELSE 0.0375::DOUBLE END AS confidence FROM given)
+SELECT entity_id, DATE '2024-01-01' AS as_of, round(total / weight, 6) AS pressure, round(confidence, 6) AS confidence FROM parts WHERE weight > 0"""
+
+
+@query(f"WITH {_STRICT}")
 def strict_score(spark, sf_dir):
-    """Scores from given signals, as a fixture supplies them."""
-    day = dt.date(2024, 1, 1)
-    rows = [("A", day, n, v, 1.0) for n, v in zip(COMPONENT_WEIGHTS, (80.0, 60.0, 40.0, 20.0), strict=True)] + [("B", day, "demand_pressure", 80.0, 0.5), ("B", day, "price_stress", None, 0.9)]
-    long = spark.createDataFrame(rows, "entity_id string, as_of date, name string, value double, confidence double")
-    return scoring.combine(scoring.from_signals(long)).select("entity_id", "as_of", F.round("pressure", 6).alias("pressure"), F.round("confidence", 6).alias("confidence"))
+    """Scores from given signals of every supplier."""
+    found = scoring.combine(scoring.from_signals(_given_signals(spark, sf_dir).drop("s_suppkey")))
+    return found.select("entity_id", "as_of", F.round("pressure", 6).alias("pressure"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_STRICT}")
+def signal_payload(spark, sf_dir):
+    """The same scores from signal documents."""
+    path = payloads.signal_documents(_given_signals(spark, sf_dir), "s_suppkey")
+    found = scoring.combine(scoring.from_signals(sources.read_signals(spark, path).drop("observation_ids")))
+    return found.select("entity_id", "as_of", F.round("pressure", 6).alias("pressure"), F.round("confidence", 6).alias("confidence"))
 
 
 # evaluation
@@ -185,7 +217,7 @@ HISTORY = "history AS (SELECT as_of, (SELECT count(DISTINCT day) FROM obs WHERE
 
 @query(f"WITH {OBS_DAILY}, {MONTHS}, {HISTORY} SELECT as_of, days FROM history")
 def history_gate(spark, sf_dir):
-    obs = views.obs_daily(spark, sf_dir)
+    obs = _daily(spark, sf_dir)
     return evaluation.history_days(obs, evaluation.month_grid(obs))
 
 
@@ -201,7 +233,7 @@ BACKTEST = ",\n".join(
 
 
 def _backtest(spark, sf_dir):
-    obs = views.obs_daily(spark, sf_dir)
+    obs = _daily(spark, sf_dir)
     return evaluation.backtest_rows(obs, evaluation.month_grid(obs))
 
 
@@ -224,7 +256,7 @@ def backtest_summary(spark, sf_dir):
 
 @query(f"WITH {SCORES} SELECT entity_id, as_of, round(pressure, 4) AS pressure, round(confidence, 4) AS confidence, demand_pressure, supply_tightness, price_stress FROM scores")
 def score_history(spark, sf_dir):
-    obs = views.obs_daily(spark, sf_dir)
+    obs = _daily(spark, sf_dir)
     return evaluation.score_history(obs, evaluation.month_grid(obs)).select("entity_id", "as_of", F.round("pressure", 4).alias("pressure"), F.round("confidence", 4).alias("confidence"), "demand_pressure", "supply_tightness", "price_stress")
 
 
@@ -238,7 +270,7 @@ SENSITIVITY = ",\n".join((OBS_DAILY, PEAKS, LAST, ALIGNED, SUPPLY, *(_demand(d,
 
 
 def _sensitivity(spark, sf_dir):
-    obs = views.obs_daily(spark, sf_dir)
+    obs = _daily(spark, sf_dir)
     return evaluation.sensitivity_scenarios(obs, evaluation.month_grid(obs).agg(F.max("as_of").alias("as_of")))
 
 
@@ -253,7 +285,7 @@ def sensitivity_summary(spark, sf_dir):
 
 
 # quality
-_FROM, _TO = dt.date(1996, 1, 1), dt.date(1998, 12, 31)
+_FROM, _TO = dt.date(1900, 1, 1), dt.date(2100, 12, 31)
 _COVERAGE = f"cover AS (SELECT entity_id, count(DISTINCT CASE WHEN metric_id = 'demand' THEN day END) AS demand_days, count(DISTINCT CASE WHEN metric_id = 'net_generation' THEN day END) AS net_generation_days, count(DISTINCT CASE WHEN metric_id = 'wholesale_price' THEN day END) AS wholesale_price_days, min(day) AS first_date, max(day) AS last_date FROM obs WHERE day BETWEEN DATE '{_FROM}' AND DATE '{_TO}' GROUP BY entity_id)"
 
 
@@ -296,7 +328,7 @@ def value_contract(spark, sf_dir):
 
 @query(f"WITH {SCORES}, wanted AS (SELECT DISTINCT entity_id FROM obs UNION ALL SELECT 'ATLANTIS') SELECT w.entity_id, CASE WHEN s.entity_id IS NULL THEN 'no usable component' END AS reason FROM wanted w LEFT JOIN (SELECT DISTINCT entity_id FROM scores) s ON w.entity_id = s.entity_id".replace("ATLANTIS", "NOWHERE"))
 def unavailable_regions(spark, sf_dir):
-    obs = views.obs_daily(spark, sf_dir)
+    obs = _daily(spark, sf_dir)
     wanted = evaluation.entities(obs).unionByName(spark.createDataFrame([("NOWHERE",)], "entity_id string"))
     return report.unavailable(wanted, scoring.scores(obs, _grid(obs)))
 
@@ -335,18 +367,47 @@ def hub_region_map(spark, sf_dir):
     return part.select("p_partkey", slug(F.col("p_name")).alias("slug"), hub_region(F.col("p_name"), _HUBS, _PREFIX).alias("region"))
 
 
-@query("SELECT * FROM (VALUES ('ERCOT North', 'ERCO'), ('SP15 EZ Gen DA LMP Peak 7x16', 'CISO'), ('Palo Verde Peak', 'SWPP'), ('Mass Hub extra', 'ISNE'), ('Unknown Hub', NULL)) t(hub, region)")
+_HUB_NAMES = ("ERCOT North", "SP15 EZ Gen DA LMP Peak 7x16", "Palo Verde Peak", "Mass Hub extra", "Unknown Hub", " pjm west")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_HUB_NAMES)) + " END AS hub, CASE p_partkey % 6 WHEN 0 THEN 'ERCO' WHEN 1 THEN 'CISO' WHEN 2 THEN 'SWPP' WHEN 3 THEN 'ISNE' END AS region FROM part")
 def wholesale_hubs(spark, sf_dir):
-    from ..schema import HUB_REGIONS
+    """Regions of hub names as files spell them: exact, by prefix, unknown."""
+    hub = F.element_at(F.array(*(F.lit(n) for n in _HUB_NAMES)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return views.read(spark, sf_dir, "part").select("p_partkey", hub.alias("hub")).withColumn("region", hub_region(F.col("hub"), HUB_REGIONS, HUB_PREFIXES))
+
 
-    hubs = spark.createDataFrame([("ERCOT North",), ("SP15 EZ Gen DA LMP Peak 7x16",), ("Palo Verde Peak",), ("Mass Hub extra",), ("Unknown Hub",)], "hub string")
-    return hubs.select("hub", hub_region(F.col("hub"), HUB_REGIONS, HUB_PREFIXES).alias("region"))
+@query(f"WITH {OBS_HOURLY} SELECT metric_id, entity_id, period_start, max(value) AS value FROM obs WHERE metric_id <> 'wholesale_price' GROUP BY ALL")
+def operating_payload(spark, sf_dir):
+    """Hourly demand and generation from pages of JSON."""
+    got = sources.read_operating(spark, payloads.operating(views.obs_hourly(spark, sf_dir)), _READ_AT)
+    return got.select("metric_id", "entity_id", F.col("period_start").cast("timestamp_ntz").alias("period_start"), "value")
 
 
-@query(f"WITH {OBS_HOURLY} SELECT period_start, round(avg(value), 6) AS value, count(*) AS zones FROM obs WHERE metric_id = 'wholesale_price' AND entity_id IN ('R0', 'R1', 'R2') GROUP BY period_start")
+@query(f"WITH {OBS_HOURLY} SELECT metric_id, entity_id, period_start, max(value) AS value FROM obs WHERE metric_id <> 'wholesale_price' GROUP BY ALL")
+def balance_csv(spark, sf_dir):
+    """The same from bulk CSV files."""
+    got = sources.read_balance(spark, payloads.balance(views.obs_hourly(spark, sf_dir)), [f"R{k}" for k in range(7)], _READ_AT)
+    return got.select("metric_id", "entity_id", F.col("period_start").cast("timestamp_ntz").alias("period_start"), "value")
+
+
+@query(f"WITH {OBS_DAILY} SELECT CASE entity_id WHEN 'AFRICA' THEN 'ERCO' WHEN 'AMERICA' THEN 'MISO' WHEN 'ASIA' THEN 'ISNE' WHEN 'EUROPE' THEN 'SWPP' ELSE 'CISO' END AS entity_id, day, value FROM obs WHERE metric_id = 'wholesale_price'")
+def wholesale_csv(spark, sf_dir):
+    """Daily high prices from CSV files."""
+    return sources.read_wholesale(spark, payloads.wholesale(views.obs_daily(spark, sf_dir)), _READ_AT).select("entity_id", "day", "value")
+
+
+@query(f"WITH {QUEUE} SELECT region_id, status, CAST(request_date AS VARCHAR) AS request_date, CAST(operation_date AS VARCHAR) AS operation_date, count(*) AS n, CAST(sum(CAST(capacity_mw AS DECIMAL(24,6))) AS DOUBLE) AS capacity_mw FROM queue GROUP BY region_id, status, request_date, operation_date")
+def project_documents(spark, sf_dir):
+    """Queue projects as JSON objects and back."""
+    rows = benchmarks.project_documents(views.queue(spark, sf_dir)).select(F.from_json("project", "region_id string, status string, request_date string, operation_date string, capacity_mw double").alias("p")).select("p.*")
+    return rows.groupBy("region_id", "status", "request_date", "operation_date").agg(F.count("*").alias("n"), F.sum(F.col("capacity_mw").cast("decimal(24,6)")).cast("double").alias("capacity_mw"))
+
+
+@query(f"WITH {OBS_HOURLY} SELECT period_start, round(avg(value), 6) AS value, count(*) AS zones FROM obs WHERE metric_id = 'wholesale_price' GROUP BY period_start")
 def zone_mean(spark, sf_dir):
     obs = views.obs_hourly(spark, sf_dir).where("metric_id = 'wholesale_price'")
-    out = benchmarks.zone_mean(obs, ("R0", "R1", "R2"), zone="entity_id")
+    out = benchmarks.zone_mean(obs, [f"R{k}" for k in range(7)], zone="entity_id")
     return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"), F.round("value", 6).alias("value"), "zones")
 
 
@@ -380,7 +441,7 @@ def sparkline(spark, sf_dir):
 
 
 # graph
-_EDGES = "nodes AS (SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3), edges AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey FROM supplier WHERE s_suppkey % 25 = 7)"
+_EDGES = "nodes AS (SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3), edges AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey FROM supplier WHERE s_suppkey % 25 = 7 UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey + 1) FROM supplier WHERE s_suppkey % 30 IN (1, 2) UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey - 2) FROM supplier WHERE s_suppkey % 30 = 3)"
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT source, target, 'unknown_node' AS problem FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes) UNION ALL SELECT DISTINCT source, target, 'self_loop' FROM edges WHERE source = target")
@@ -388,30 +449,38 @@ def invalid_edges(spark, sf_dir):
     return graph.bad_edges(*views.value_chain(spark, sf_dir))
 
 
-@query(f"WITH {_EDGES} SELECT DISTINCT e.source, e.target FROM edges e WHERE e.source = e.target")
+@query(
+    f"""WITH RECURSIVE {_EDGES}, reach(a, b) AS (SELECT source, target FROM edges UNION SELECT reach.a, edges.target FROM reach JOIN edges ON reach.b = edges.source),
+below AS (SELECT b AS id FROM reach WHERE a IN (SELECT a FROM reach WHERE a = b))
+SELECT DISTINCT source, target FROM edges WHERE source IN (SELECT id FROM below)"""
+)
 def graph_acyclic(spark, sf_dir):
-    """Edges left after peeling: what lies on a cycle here are the self-loops."""
+    """Edges left after peeling: cycles of one and of three suppliers, and what lies below them."""
     _, edges = views.value_chain(spark, sf_dir)
     return graph.cyclic_core(edges)
 
 
-@query("SELECT id, problem FROM (VALUES ('n1', 'duplicate'), ('n9', 'stage')) t(id, problem)")
+@query("SELECT 's' || s_suppkey AS id, 'stage' AS problem FROM supplier WHERE s_suppkey % 17 = 5 UNION ALL SELECT 's' || s_suppkey, 'duplicate' FROM supplier WHERE s_suppkey % 17 = 5 AND s_suppkey % 10 <> 3")
 def invalid_nodes(spark, sf_dir):
-    nodes = spark.createDataFrame([("n1", "a", "power"), ("n1", "b", "network"), ("n9", "c", "kitchen")], "id string, name string, stage string")
-    return graph.bad_nodes(nodes)
+    nodes, _ = views.value_chain(spark, sf_dir)
+    again = views.read(spark, sf_dir, "supplier").where("s_suppkey % 17 = 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("kitchen").alias("stage"))
+    return graph.bad_nodes(nodes.unionByName(again))
 
 
 # reports
 @query()
 def report_json(spark, sf_dir):
     """One row: the report of the latest month end."""
-    obs = views.obs_daily(spark, sf_dir)
+    obs = _daily(spark, sf_dir)
     latest = evaluation.month_grid(obs).agg(F.max("as_of").alias("as_of"))
     scored = scoring.scores(obs, evaluation.entities(obs).crossJoin(F.broadcast(latest)))
     return report.regions_json(scored)
 
 
-@query()
+@query(
+    f"""WITH {OBS_HOURLY}, {PEAKS}, {_demand()}, latest AS (SELECT entity_id, max(day) AS as_of FROM demand GROUP BY entity_id)
+SELECT obs.entity_id, as_of, ord, id FROM obs JOIN latest ON obs.entity_id = latest.entity_id WHERE metric_id = 'demand' AND day <= as_of"""
+)
 def score_lineage(spark, sf_dir):
     """Observations behind the demand component at each entity's latest scored day, a row for each."""
     obs = views.obs_hourly(spark, sf_dir)

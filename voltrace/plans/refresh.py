@@ -17,7 +17,7 @@ from .. import sources
 from ..operators import benchmarks, evaluation, quality
 from ..schema import DEFAULT_COMPANIES, DEFAULT_REGIONS, OBSERVATIONS, PRICE_REGIONS, ScoreConfig
 from ..sources import SOURCES, http
-from . import report, snapshot
+from . import page, report, snapshot
 from .snapshot import Artifact
 
 
@@ -81,23 +81,25 @@ def refresh(spark: SparkSession, config: RefreshConfig, pages: Callable[[], Iter
             path = copy(zipped, "zones")
             found.append(zones := sources.read_zone_archives(spark, path, at))
             artifacts.append(_artifact(staging, Path(path), "zones", zones.count(), at))
-        everything = found[0]
-        for more in found[1:]:
+        # sources keep their order: each one's ordinals lie above those of the one before
+        placed = [f.withColumn("ord", F.col("ord") + F.lit(k << 56)) for k, f in enumerate(found)]
+        everything = placed[0]
+        for more in placed[1:]:
             everything = everything.unionByName(more)
         artifacts.append(snapshot.write_observations(everything, staging, "observations", *SOURCES["operating"][:2], at))
         filed = spark.createDataFrame([], OBSERVATIONS)
-        for name, cik in sorted((config.companies or DEFAULT_COMPANIES).items()):
+        for k, (name, cik) in enumerate(sorted((config.companies or DEFAULT_COMPANIES).items())):
             path = staging / "raw" / "facts" / f"{name.lower().replace(' ', '-')}.json"
             snapshot.write_json(path, facts(cik))
             artifacts.append(_artifact(staging, path, "facts", 1, at))
             rows = sources.read_company_facts(spark, str(path), cik, at)
             try:
-                rows.count()
-            except Exception as error:  # a company without supported filings
-                if "capital spending" not in str(error) and "fact" not in str(error):
+                rows.write.format("noop").mode("overwrite").save()  # every column of the few rows
+            except Exception as error:
+                if not sources.is_unusable_filing(error):
                     raise
                 continue
-            filed = filed.unionByName(rows)
+            filed = filed.unionByName(rows.withColumn("ord", F.col("ord") + F.lit(k << 40)))
         artifacts.append(snapshot.write_observations(filed, staging, "capex", *SOURCES["facts"][:2], at))
         return artifacts
 
@@ -119,10 +121,11 @@ def validation_bundle(obs: DataFrame, regions: Sequence[str], start: dt.date, en
     """Everything a report adds to the scores: gates, hindcast, sensitivity at the last date, history, queue benchmark."""
     dates = evaluation.month_grid(obs, start, end)
     violations = [r.violation for r in quality.gate_violations(obs, start, end, regions, price_regions=price_regions).orderBy("ordinal").collect()]
-    cover = [{"region_id": r.entity_id, "metric_days": {m: r[f"{m}_days"] for m in quality.METRICS}, "first_date": r.first_date and r.first_date.isoformat(), "last_date": r.last_date and r.last_date.isoformat()} for r in quality.coverage(obs, start, end, regions).orderBy("entity_id").collect()]
+    repeated = {name: [":".join(str(r[c]) for c in keys) for r in quality.duplicates(obs, *keys).orderBy(*keys).collect()] if set(keys) <= set(obs.columns) else [] for name, keys in (("duplicate_observation_ids", ("id",)), ("duplicate_observation_keys", ("metric_id", "entity_id", "period_start")))}
+    cover = [{"region_id": r.entity_id, "metric_days": {m: r[f"{m}_days"] for m in quality.METRICS}, "first_date": r.first_date and r.first_date.isoformat(), "last_date": r.last_date and r.last_date.isoformat()} for r in sorted(quality.coverage(obs, start, end, regions).collect(), key=lambda r: list(regions).index(r.entity_id))]
     tested = evaluation.backtest_rows(obs, dates, regions, config=config)
     out: dict[str, Any] = {
-        "validation": {"window": {"start": start.isoformat(), "end": end.isoformat()}, "observation_count": obs.count(), "coverage": cover, "passed": not violations, "violations": violations},
+        "validation": {"schema_version": 1, "required_price_regions": list(price_regions), **repeated, "window": {"start": start.isoformat(), "end": end.isoformat()}, "observation_count": obs.count(), "coverage": cover, "passed": not violations, "violations": violations},
         "backtest": {"method": "score then against score later", "rows": _rows(tested.orderBy("entity_id", "as_of", "horizon_days")), "summaries": _rows(evaluation.backtest_summary(tested).orderBy("horizon_days"))},
     }
     history: dict[str, list[dict[str, Any]]] = {r: [] for r in regions}
@@ -137,10 +140,19 @@ def validation_bundle(obs: DataFrame, regions: Sequence[str], start: dt.date, en
     return out
 
 
+def queue_document(path: Path | None) -> dict[str, Any]:
+    """A prepared queue benchmark as the report shows it; without a file it is empty."""
+    if path is None:
+        return {"schema_version": 1, "regions": []}
+    held = json.loads(path.read_text(encoding="utf-8"))
+    about = {k: held.get(k) for k in ("dataset_as_of", "source")}
+    return {"schema_version": held.get("schema_version", 1), **about, "regions": held.get("benchmark", [])}
+
+
 def write_report(payload: Mapping[str, Any], folder: Path) -> None:
     """The report as JSON and as a page, each written atomically."""
     snapshot.write_json(folder / "report.json", payload)
-    snapshot.write_text(folder / "report.html", report.render_html(payload))
+    snapshot.write_text(folder / "report.html", page.render_html(payload))
 
 
 def balance_periods(start: dt.date, end: dt.date) -> list[str]:

@@ -89,4 +89,7 @@ def value_chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     rn = nation.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("source"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("target"))
     ns = supplier.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"))
     loops = supplier.where("s_suppkey % 25 = 7").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"))
-    return nodes, rn.unionByName(ns).unionByName(loops)
+    key = F.col("s_suppkey")
+    step = F.when(key % 30 == 3, key - 2).otherwise(key + 1)  # rings of three suppliers
+    rings = supplier.where("s_suppkey % 30 IN (1, 2, 3)").select(F.concat(F.lit("s"), key.cast("string")).alias("source"), F.concat(F.lit("s"), step.cast("string")).alias("target"))
+    return nodes, rn.unionByName(ns).unionByName(loops).unionByName(rings)

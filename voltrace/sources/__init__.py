@@ -41,6 +41,26 @@ def _required(value: Column, name: str) -> Column:
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"invalid {name}")))
 
 
+#: What a company's filings can lack; such a company has no rows in a refresh.
+UNUSABLE_FILINGS = ("capital spending has no USD units", "no supported capital spending", "invalid fact date", "invalid fact value", "invalid fact filing", "invalid fact accession")
+
+
+def is_unusable_filing(error: Exception) -> bool:
+    """Whether a job failed on what a company filed, and not on reading it."""
+    said = str(error)
+    return any(f"[USER_RAISED_EXCEPTION] {m}" in said for m in UNUSABLE_FILINGS)
+
+
+def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """CSV files with a header, and ``ord``: files by name, then lines in order, however Spark packs their splits into tasks."""
+    raw = spark.read.csv(paths, header=True, encoding="UTF-8").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"))
+    # only the short list of splits is sorted in one task
+    splits = raw.select("__file", "__from").distinct().withColumn("__split", F.row_number().over(Window.orderBy("__file", "__from")).cast("long"))
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = raw.withColumn("__line", line).join(F.broadcast(splits), ["__file", "__from"])
+    return numbered.withColumn("ord", F.col("__split") * (1 << 33) + F.col("__line")).drop("__file", "__from", "__split", "__line")
+
+
 def operating_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(ord, period, respondent, type_name, type, value, unit): the payload's rows; of equal keys the last wins, at the first's place."""
     row = "period string, respondent string, `type-name` string, type string, value string, `value-units` string"
@@ -74,9 +94,9 @@ def read_operating(spark: SparkSession, paths: str | Sequence[str], retrieved_at
 
 def read_balance(spark: SparkSession, paths: str | Sequence[str], regions: Sequence[str], retrieved_at: dt.datetime) -> DataFrame:
     """Bulk balance CSV: up to two observations from a row; stamps are ends of hours in UTC."""
-    raw = spark.read.csv(paths, header=True, encoding="UTF-8")
+    raw = read_csv(spark, paths)
     cell = lambda c: trimmed(F.col(f"`{c}`"))
-    rows = raw.select(F.monotonically_increasing_id().alias("ord"), cell("Balancing Authority").alias("entity_id"), cell("UTC Time at End of Hour").alias("stamp"), cell("Demand (MW)").alias("demand"), cell("Net Generation (MW)").alias("net_generation"))
+    rows = raw.select("ord", cell("Balancing Authority").alias("entity_id"), cell("UTC Time at End of Hour").alias("stamp"), cell("Demand (MW)").alias("demand"), cell("Net Generation (MW)").alias("net_generation"))
     rows = rows.where(F.col("entity_id").isin(*regions) & F.col("stamp").isNotNull())
     long = rows.unpivot(["ord", "entity_id", "stamp"], ["demand", "net_generation"], "metric_id", "value").where(F.col("value").isNotNull())
     period = _required(F.try_to_timestamp("stamp", F.lit("M/d/yyyy h:mm:ss a")), "timestamp")
@@ -93,10 +113,10 @@ def parse_day(text: Column) -> Column:
 
 def read_wholesale(spark: SparkSession, paths: str | Sequence[str], retrieved_at: dt.datetime) -> DataFrame:
     """Daily high prices of supported hubs; header names vary, blanks and dashes are left out."""
-    raw = spark.read.csv(paths, header=True, encoding="UTF-8")
+    raw = read_csv(spark, paths)
     have = raw.columns
     rows = raw.select(
-        F.monotonically_increasing_id().alias("ord"),
+        "ord",
         first_filled(have, "Hub", "Price Hub", "Price hub", "Location").alias("hub"),
         first_filled(have, "Date", "Delivery Date", "Delivery Start Date", "Delivery start date").alias("date"),
         first_filled(have, "High Price", "High", "High price $/MWh").alias("price"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
@@ -50,16 +51,21 @@ def get_json(url: str, agent: str = "", opener: Callable[..., Any] = urlopen, sl
         except HTTPError as error:
             if error.code != 429 or k + 1 == TRIES:
                 raise FetchError(f"status {error.code}") from error
-            wait = error.headers.get("Retry-After") if error.headers else None
-            sleep(min(60.0, max(1.0, float(wait) if wait and wait.strip().isdigit() else 2.0**k)))
+            sleep(min(60.0, max(1.0, asked_wait(error, 2.0**k))))
         except (OSError, ValueError) as error:
             raise FetchError("could not fetch") from error
     raise FetchError("could not fetch")
 
 
+def asked_wait(error: HTTPError, otherwise: float) -> float:
+    """Seconds that an answer asks to wait, which may have a fraction."""
+    said = (error.headers.get("Retry-After") if error.headers else None) or ""
+    return float(said) if re.fullmatch(r"\s*[0-9]+(\.[0-9]*)?\s*", said) else otherwise
+
+
 def pages(url: Callable[[int], str], get: Callable[[str], Mapping[str, Any]] = get_json, sleep: Callable[[float], None] = time.sleep, length: int = PAGE) -> Iterator[Mapping[str, Any]]:
     """Pages until one is empty, one is short and names no total, or the total is reached."""
-    offset = 0
+    offset = seen = 0
     while True:
         page = get(url(offset))
         response = page.get("response")
@@ -68,9 +74,10 @@ def pages(url: Callable[[int], str], get: Callable[[str], Mapping[str, Any]] = g
             raise FetchError("a page has no list of rows")
         yield page
         total = response.get("total")
-        offset += len(rows)
-        if not rows or (total is None and len(rows) < length) or (total is not None and offset >= int(total)):
+        seen += len(rows)
+        if not rows or (total is None and len(rows) < length) or (total is not None and seen >= int(total)):
             return
+        offset += length  # pages have fixed places, even one that came short
         sleep(PAUSE)
 
 

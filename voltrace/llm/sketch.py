@@ -30,7 +30,7 @@ from .components import durable
 from .textkernel import chunks
 
 #: Text of a block; one longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Most rows of a block, so that a block and a row fit one address.
 ROW_BITS = 20
 #: Cells for each expected identity, at least.

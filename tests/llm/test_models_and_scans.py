@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voltrace.llm import decontaminate, language_id, license_scan, pii, quality, topk, warc
+from voltrace.llm import decontaminate, language_id, license_scan, pii, quality, queries, textkernel, topk, warc
 
 # --- language
 
@@ -146,6 +147,50 @@ def test_contamination(spark, docs, prose, monkeypatch, tokens):
     assert decontaminate.contaminated(docs([]), bench).count() == 0 and decontaminate.contaminated(docs(rows), bench.where("false")).count() == 0
 
 
+def naive_overlap(item, text):
+    """All shifts of an item against a text, without seeds."""
+    a, b = (textkernel.tokens_of(*textkernel.text_bytes(pa.array([t])))[0] for t in (item, text))
+    for s in range(1 - len(a), len(b)):
+        lo, hi = max(s, 0), min(s + len(a), len(b))
+        x, y = decontaminate.best_stretch(b[lo:hi] == a[lo - s : hi - s])
+        if y - x >= min(len(a), decontaminate.SHORTEST) and (y - x >= decontaminate.COVER * len(a) or y - x >= decontaminate.LEAST):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 6, 8, 12, 13, 14, 20, 40])
+def test_seeds_lose_no_overlap_of_a_naive_aligner(n):
+    rng = random.Random(n)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=20) + [rng.choice(vocabulary) if rng.random() < (0.1, 0.15, 0.2)[k % 3] else w for w in item] + rng.choices(vocabulary, k=20)) for k, item in enumerate(items)]
+    table = decontaminate.build_table(list(range(60)), [" ".join(i) for i in items])
+    got = {(d, i) for d, i, *_ in decontaminate.match(table, *textkernel.tokens_of(*textkernel.text_bytes(pa.array(texts)))) if d == i}
+    want = {(k, k) for k in range(60) if naive_overlap(" ".join(items[k]), texts[k])}
+    assert len(want) > 10 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_tokens_of_any_script():
+    def tokens(*texts):
+        h, first = textkernel.tokens_of(*textkernel.text_bytes(pa.array(texts)))
+        return [h[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    plain, quoted, dashed, other = tokens("The old house", "“the OLD house”", "the—old—house…", "the old houses")
+    assert plain == quoted == dashed != other
+    a, b = tokens("ÉTÉ Straße ЗИМА Ωmega", "été straße, зима ωMEGA")
+    assert a == b and len(a) == 4
+    a, b = tokens("我们在这里见面。", "x我们在这里见面y")
+    assert len(a) == 7 and b[1:8] == a and len(b) == 9
+    assert tokens("a", "é", "", "b c") == [tokens("a")[0], tokens("é")[0], [], tokens("b c")[0]]
+
+
+def test_contamination_in_other_scripts(spark, docs):
+    item = "为什么天空是蓝色的而日落时却变成红色请说明原因"
+    rows = [(1, f"前面有一些文字{item}后面也有一些"), (2, "前面有一些文字后面也有一些"), (3, "“Why”—is the sky «blue» at noon—and red at dusk?")]
+    bench = spark.createDataFrame([(7, item), (8, "why is the sky blue at noon and red at dusk")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), bench).collect()) == [(1, 7), (3, 8)]
+
+
 def test_best_stretch():
     assert decontaminate.best_stretch(np.array([1, 1, 1, 0, 1, 1], bool)) == (0, 6)
     assert decontaminate.best_stretch(np.array([0, 0, 0], bool)) == (0, 0)
@@ -203,6 +248,44 @@ def test_added_spans_and_masking(docs):
     assert masked[1] == "Call phone [LOCAL_PHONE] now. SSN [NATIONAL_ID], mail [HIDDEN_EMAIL] or [EMAIL]; version 123-45-6789" and masked[2] is None and masked[3] == "clean text of 1998-2001"
 
 
+def added_of(text, model):
+    """Added spans by plain Python: candidates apart from base findings, votes, likelihood."""
+    base, out = base_of(text), []
+    for k, kind in enumerate(pii.EXTRA_KINDS):
+        for m in re.finditer(pii._CANDIDATES[kind], text):
+            if any(s < m.end() and m.start() < e for s, _, e in base):
+                continue
+            near = text[max(0, m.start() - 32) : m.start()].lower()
+            vote = lambda x, pro, contra: -1 if contra and re.search(contra, x) else int(bool(re.search(pro, x)))
+            votes = (vote(m.group(), pii._FOR[kind], pii._AGAINST.get(kind)), vote(m.group(), pii._LISTS[kind], None), vote(near, pii._NEAR[kind], pii._AWAY))
+            z = model.bias + model.kinds[k] + sum(w * v for w, v in zip(model.votes, votes, strict=True))
+            if 1 / (1 + np.exp(-z)) >= pii.ACCEPT:
+                out.append((m.start(), kind, m.end()))
+    return out
+
+
+def test_added_spans_against_plain_python(docs):
+    rng = random.Random(21)
+    parts = ["call (212) 555-0199", "tel 415-555-0100 ", "078-05-1120", "ssn 219-09-9999", "000-12-3456", "iban DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "joe [at] site [dot] com", "mail x(at)y.org", "Dr. Anna Schmidt", "Herr The", "a@b.co", "10.0.0.1", "order 555-123-4567", "+1 212 555 0199 77", "é😀 words between", "\n", "dear Mr. John Smith,"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(150)]
+    df = docs(list(enumerate(texts)))
+    model = pii.fit(df)
+    for r, t in zip(pii.find(df, model).orderBy("doc_id").collect(), texts, strict=True):
+        names = {*pii.EXTRA_KINDS}
+        assert sorted((s.start, s.kind, s.end) for s in r.spans if s.kind in names) == sorted(added_of(t, model)), t
+
+
+def test_very_many_findings_in_a_text(docs):
+    text = " ".join(f"10.{k % 256}.0.{k // 256} (212) 555-{k % 10000:04d}" for k in range(16_000))
+    df = docs([(1, text)])
+    model = pii.fit_counts([])
+    got = pii.find(df, model).select("base", F.expr("filter(spans, s -> s.kind = 'local_phone')").alias("more")).first()
+    assert [(s.start, s.kind, s.end) for s in got.base] == base_of(text) and len(got.base) == 16_000
+    masked = pii.redact(df, model).first().text
+    want = re.sub(r"10\.[0-9]+\.0\.[0-9]+", "[IP]", text)
+    assert (masked == re.sub(r"\(212\) 555-[0-9]{4}", "[LOCAL_PHONE]", want)) if got.more else (masked == want)
+
+
 def test_expectation_maximisation_finds_the_bad_labeler():
     patterns = [(0, (1, 1, 1), 500), (0, (1, -1, 1), 300), (0, (-1, 1, -1), 300), (0, (-1, -1, -1), 500)]
     got = pii.fit_counts(patterns).reliability
@@ -276,3 +359,55 @@ def test_several_licenses_in_a_block(text, names):
     s = license_scan.Scanner()
     assert sorted(hit[1] for hit in s.scan(text)) == names
     assert sorted(hit[1] for hit in s.scan(f"{'word ' * 300}{text}{' word' * 300}")) == names
+
+
+def all_windows(scanner, text):
+    """Names that any template finds in any line or paragraph window, without cues, word counts or compression."""
+    found = set()
+    spans = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)] + [m.span() for m in license_scan._PARAGRAPH.finditer(text)]
+    for a, b in spans:
+        for x, y in license_scan.windows(text, a, b):
+            have = license_scan.words(text[x:y])
+            for k, (name, _, _, want) in enumerate(scanner.rows):
+                share, missing, at = scanner.align(have, k)
+                if share == 1.0 and len(at) == at[-1] + 1 - at[0] == len(want):
+                    found.add(name)
+    return found
+
+
+def test_scan_against_all_windows_and_templates(prose):
+    rng = random.Random(31)
+    scanner = license_scan.Scanner()
+    notices = [(name, t) for name, _, t, _ in scanner.rows if len(t) < 90]
+    assert len({name for name, *_ in scanner.rows}) >= 45
+    for seed in range(60):
+        parts = []
+        for k in range(rng.randrange(4)):
+            name, t = rng.choice(notices)
+            t = t.replace(" ", "\n# ") if k == 1 else t
+            parts.append(f"{prose(rng.randrange(30), seed + k)}\n\n{t}\n\n{prose(rng.randrange(200), seed)}")
+        text = "\n\n".join(parts)
+        got = {name for _, name, *_ in scanner.scan(text)}
+        # a notice that is part of a longer one goes with it
+        assert all(any(n == g or n in g or g in n or n.split("-")[0] == g.split("-")[0] for g in got) for n in all_windows(scanner, text)), (text, got)
+        assert got <= all_windows(scanner, " ".join(text.replace("# ", "").split("\n"))) | all_windows(scanner, text)
+
+
+@pytest.mark.parametrize("ident", ["LGPL-2.1", "BSD-2-Clause", "EPL-2.0", "MIT-0", "OFL-1.1"])
+def test_names_of_the_list(ident):
+    scanner = license_scan.Scanner()
+    for t in license_scan.short_notices()[ident]:
+        assert [n for _, n, *_ in scanner.scan(f"some words\n{t}\nmore words")] == [ident], t
+    assert scanner.scan("Licensed under the Nowhere Public License 2.0.") == []
+
+
+# --- held-out accuracy on the synthetic tables
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = queries.op2_quality(spark, folder).where("held_out").join(labels, "doc_id").where("quality IS NOT NULL")
+    assert got.count() > 50 and got.where("predicted = quality").count() / got.count() > 0.97
+    got = queries.op4_language_id(spark, folder).where("held_out").join(docs, "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'")
+    assert got.count() > 100 and got.where("lang_pred = lang").count() / got.count() > 0.97

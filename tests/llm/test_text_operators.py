@@ -111,7 +111,7 @@ def test_tokens_equal_the_library(spark, docs):
     lib = spm.SentencePieceProcessor(model_file=default_tokenizer())
     rng = random.Random(4)
     letters = "ab  \n\tèß漢字😀\x00the ing 0123.,▁-"
-    texts = [None, "", " ", "  a", "<s> </s>", "aaaa" * 700, "ab" * 3000, "▁▁x", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400))]
+    texts = [None, "", " ", "  a", "<s> </s>", "aaaa" * 700, "ab" * 3000, "".join(rng.choice("aeinrst") for _ in range(4000)), "".join(rng.choice("AZaz09+/") for _ in range(4000)), "=" * 999 + "-" * 77, "漢字的是" * 300, "a " * 200 + thue_morse(2048), "b " + thue_morse(2048).translate({97: 98, 98: 97}),  "▁▁x", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400))]
     got = sentencepiece_bpe.encode_decode(docs(list(enumerate(texts))), default_tokenizer()).orderBy("doc_id").collect()
     for r, t in zip(got, texts, strict=True):
         want = lib.encode(t or "")

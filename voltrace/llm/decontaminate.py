@@ -1,9 +1,11 @@
 """Benchmark decontamination with spaced seeds.
 
-Tokens are runs of letters and digits, folded to lower case, so markup and
-punctuation around words don't matter. A spaced seed is a fixed mask over a
+Tokens are runs of letters, digits and marks of any script, folded to lower
+case, so markup and punctuation around words don't matter; characters of
+scripts without spaces are tokens each. A spaced seed is a fixed mask over a
 span of tokens; only the tokens under its ones are hashed, so a hit survives
-substitutions at the ignored places. Test and training hashes are joined per
+substitutions at the ignored places; short items have short masks, which miss
+no stretch that verification would take. Test and training hashes are joined per
 batch: a bit table lets few positions through, a sorted lookup settles them.
 Around each hit the item and the document are aligned without gaps and the
 longest stretch is found in which at least ``AGREE`` of the tokens are equal;
@@ -15,8 +17,9 @@ The seed table of the benchmark is broadcast in blocks of at most
 without any shuffle; a larger one takes a pass for each block, so what is
 broadcast never grows with either table.
 
-Edge cases: null and empty texts and items match nothing; items shorter than
-the shortest seed are matched by a seed of all their tokens; repeated items
+Edge cases: null and empty texts and items match nothing; items of one or two
+tokens are matched by a seed of all of them; texts of any length are searched
+whole; of equally good stretches the first one found is reported; repeated items
 each match; repeated documents each match; extra columns are ignored; a null
 document or item id is reported as null; an empty table gives an empty result.
 """
@@ -31,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import ALNUM_CLASS, HASH, chunks, find_words, fold_latin, mix, text_bytes
+from .textkernel import chunks, mix, text_bytes, tokens_of
 
-#: Fixed masks: weight 7 in spans of 11 and 12, 8 in 14, and 5 in a row for short items.
-MASKS = ("11101001111", "110100110111", "11010110001111", "11111")
+#: Fixed masks, with the sizes of items that they serve. Of tokens of which a
+#: share of 0.8 agrees, the first and last among them, three in a row do from
+#: six tokens on, and of five the pairs around the middle or three in a row.
+SHORT = 14
+MASKS = (("11101001111", SHORT, None), ("110100110111", SHORT, None), ("11010110001111", SHORT, None), ("11111", SHORT, None), ("1011", SHORT, 3 * SHORT), ("111", 3, SHORT - 1), ("11011", 5, 5))
 #: Share of equal tokens in a matched stretch.
 AGREE = 0.8
 #: Share of an item's tokens that a stretch must cover.
@@ -61,12 +67,6 @@ class SeedTable:
     masks: tuple[str, ...]
 
 
-def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token identities and the first token of each document."""
-    start, end, first = find_words(data, off, ALNUM_CLASS)
-    return HASH.spans(fold_latin(data), start, end), first
-
-
 def seeds(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
     """Hash under ``mask`` at each position at which it fits."""
     n = len(tokens) - len(mask) + 1
@@ -83,16 +83,14 @@ def build_table(ids: list[int | None], texts: list[str | None]) -> SeedTable:
     data, off = text_bytes(pa.array(texts, pa.string()))
     tokens, first = tokens_of(data, off)
     size = np.diff(first)
-    shortest = min(len(m) for m in MASKS)
-    masks = (*MASKS, *("1" * int(n) for n in np.unique(size[(size > 0) & (size < shortest)])))
+    masks = (*MASKS, ("1", 1, 1), ("11", 2, 2))
     hashes, item, place = [], [], []
-    for k, mask in enumerate(masks):
+    for k, (mask, low, high) in enumerate(masks):
         h = seeds(tokens, mask, k)
         at = np.arange(len(h))
         own = np.searchsorted(first, at, "right") - 1
         fits = at + len(mask) <= first[own + 1]
-        if len(mask) < shortest:
-            fits &= size[own] == len(mask)
+        fits &= (size[own] >= low) & (size[own] <= (high or size[own]))
         hashes.append(h[fits])
         item.append(own[fits])
         place.append((at - first[own])[fits])
@@ -100,7 +98,7 @@ def build_table(ids: list[int | None], texts: list[str | None]) -> SeedTable:
     order = np.argsort(h, kind="stable")
     bits = np.zeros(_BITS, bool)
     bits[h & np.uint64(_BITS - 1)] = True
-    return SeedTable(h[order], item[order], place[order], bits, tokens, first, ids, masks)
+    return SeedTable(h[order], item[order], place[order], bits, tokens, first, ids, tuple(m for m, _, _ in masks))
 
 
 def best_stretch(equal: np.ndarray, agree: float = AGREE) -> tuple[int, int]:
@@ -119,6 +117,19 @@ def best_stretch(equal: np.ndarray, agree: float = AGREE) -> tuple[int, int]:
     return (i + int(at[0]), i + int(at[-1]) + 1) if len(at) else (0, 0)
 
 
+def _promising(table: SeedTable, tokens: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Pairs (document, item, shift) with as many equal tokens as the shortest stretch that counts must have."""
+    doc, item, shift = pairs.T
+    size = table.first[item + 1] - table.first[item]
+    equal = np.zeros(len(pairs), np.int64)
+    for j in range(int(size.max()) if len(size) else 0):
+        at = shift + j
+        live = np.flatnonzero((j < size) & (at >= first[doc]) & (at < first[doc + 1]))
+        equal[live] += tokens[at[live]] == table.tokens[table.first[item[live]] + j]
+    need = np.maximum(np.minimum(size, SHORTEST), np.minimum(COVER * size, LEAST))
+    return equal >= np.ceil(AGREE * need - 1e-9)
+
+
 def match(table: SeedTable, tokens: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(document, item, first token, end, equal tokens, item tokens) of the best stretch for each pair that counts."""
     doc, item, shift = [], [], []
@@ -136,6 +147,7 @@ def match(table: SeedTable, tokens: np.ndarray, first: np.ndarray) -> list[tuple
         item.append(table.item[rows])
         shift.append(np.repeat(at, many) - table.place[rows])
     pairs = np.unique(np.stack((np.concatenate(doc), np.concatenate(item), np.concatenate(shift)), 1), axis=0)
+    pairs = pairs[_promising(table, tokens, first, pairs)]
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     for d, i, s in pairs.tolist():
         a, b = int(table.first[i]), int(table.first[i + 1])

@@ -71,6 +71,65 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
 }
+#: Further identifiers of the SPDX list and the names that short notices use.
+NAMES: dict[str, str] = {
+    "0BSD": "BSD Zero Clause License",
+    "AFL-3.0": "Academic Free License v3.0",
+    "AGPL-3.0": "GNU Affero General Public License v3.0",
+    "Artistic-2.0": "Artistic License 2.0",
+    "Apache-1.1": "Apache License, Version 1.1",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-4-Clause": "BSD 4-Clause License",
+    "BSL-1.0": "Boost Software License 1.0",
+    "CC-BY-3.0": "Creative Commons Attribution 3.0 Unported License",
+    "CC-BY-SA-3.0": "Creative Commons Attribution-ShareAlike 3.0 Unported License",
+    "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-ND-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CDDL-1.0": "Common Development and Distribution License 1.0",
+    "CECILL-2.1": "CeCILL Free Software License Agreement v2.1",
+    "ECL-2.0": "Educational Community License v2.0",
+    "EPL-1.0": "Eclipse Public License 1.0",
+    "EPL-2.0": "Eclipse Public License 2.0",
+    "EUPL-1.2": "European Union Public License 1.2",
+    "GFDL-1.3": "GNU Free Documentation License, version 1.3",
+    "GPL-2.0": "GNU General Public License v2.0",
+    "GPL-3.0": "GNU General Public License v3.0",
+    "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "GNU Lesser General Public License v3.0",
+    "LPPL-1.3c": "LaTeX Project Public License v1.3c",
+    "MIT-0": "MIT No Attribution License",
+    "MPL-1.1": "Mozilla Public License 1.1",
+    "MPL-2.0": "Mozilla Public License 2.0",
+    "MS-PL": "Microsoft Public License",
+    "MulanPSL-2.0": "Mulan Permissive Software License, Version 2",
+    "NCSA": "University of Illinois/NCSA Open Source License",
+    "ODbL-1.0": "Open Data Commons Open Database License v1.0",
+    "OFL-1.1": "SIL Open Font License, Version 1.1",
+    "OSL-3.0": "Open Software License 3.0",
+    "PostgreSQL": "PostgreSQL License",
+    "PSF-2.0": "Python Software Foundation License 2.0",
+    "Unlicense": "The Unlicense",
+    "UPL-1.0": "Universal Permissive License v1.0",
+    "Vim": "Vim License",
+    "WTFPL": "Do What The F*ck You Want To Public License",
+    "Zlib": "zlib License",
+}
+#: Identifiers in tags that have no short notice of their own above.
+TAGS = ("ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "MPL-2.0", "AGPL-3.0", "LGPL-3.0", "LGPL-2.1", "GPL-2.0", "GPL-3.0")
+
+
+def short_notices() -> dict[str, tuple[str, ...]]:
+    """Tags and one-line notices, made from identifiers and names; GNU identifiers also come with a suffix."""
+    out: dict[str, list[str]] = {}
+    for ident in dict.fromkeys((*NAMES, *TAGS)):
+        suffixes = ("", "-only", "-or-later") if "GPL" in ident or ident.startswith("GFDL") else ("",)
+        out[ident] = [f"SPDX-License-Identifier: {ident}{s}" for s in suffixes]
+        if ident in NAMES:
+            out[ident] += [f"Licensed under the {NAMES[ident].removeprefix('The ')}.", f"Released under the {NAMES[ident].removeprefix('The ')}."]
+    return {k: tuple(v) for k, v in out.items()}
+
+
 #: Every template has one of these, in lower case.
 CUES = ("licen", "permi", "redistribut", "public domain", "all rights reserved", "proprietary", "cc0", "mozilla public")
 #: The words of a cue may be on two lines, with a comment mark between them.
@@ -103,8 +162,13 @@ def windows(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
 class Scanner:
     """Templates with their dictionaries and words."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> None:
-        self.rows = [(name, k, t, words(t)) for name, texts in sorted(templates.items()) for k, t in enumerate(texts)]
+    def __init__(self, templates: dict[str, tuple[str, ...]] | None = None) -> None:
+        short = short_notices() if templates is None else {}
+        known = TEMPLATES if templates is None else templates
+        self.rows = [(name, k, t, words(t)) for name in sorted({*known, *short}) for k, t in enumerate(dict.fromkeys((*known.get(name, ()), *short.get(name, ()))))]
+        # a notice made of a name alone must have all of its words
+        made = {t for texts in short.values() for t in texts}
+        self.least = [1.0 if t in made else CONFIRM for _, _, t, _ in self.rows]
         if missing := [t for _, _, t, _ in self.rows if not _CUE.search(t)]:
             raise ValueError(f"no cue word in {missing[0]!r}")
         self.counts = [Counter(w) for _, _, _, w in self.rows]
@@ -131,7 +195,7 @@ class Scanner:
         """Templates that ``confirm`` may accept: words that the block lacks altogether are few."""
         have = set(words(block))
         lost = [sum(n for w, n in c.items() if w not in have) for c in self.counts]
-        return [k for k, n in enumerate(lost) if (len(self.rows[k][3]) - n) / max(1, len(self.rows[k][3])) >= CONFIRM]
+        return [k for k, n in enumerate(lost) if (len(self.rows[k][3]) - n) / max(1, len(self.rows[k][3])) >= self.least[k]]
 
     def rank(self, block: str, among: list[int] | None = None) -> list[tuple[float, int]]:
         """(share of bytes saved, template), best first, of all templates or some."""
@@ -170,7 +234,7 @@ class Scanner:
         for saved, k in self.rank(block, self.possible(block)):
             share, missing, at = self.align(have, k)
             # a version number or a clause that names the licence may not differ
-            if share >= CONFIRM and not any(re.search(r"\d|^(?:sa|nc|by|mit|bsd|lesser|affero|apache|isc)\b", d.split(">")[0]) for d in missing):
+            if share >= self.least[k] and not any(re.search(r"\d|^(?:sa|nc|by|mit|bsd|lesser|affero|apache|isc)\b", d.split(">")[0]) for d in missing):
                 good.append(((-share, len(missing), at[-1] + 1 - at[0] - len(at), -saved, self.rows[k][0]), k, saved, share, missing, at))
         out, taken = {}, set()
         for _, k, saved, share, missing, at in sorted(good):
@@ -197,11 +261,10 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, license, start, saved, share, differences): a row for each licence that a document states."""
-    known = templates or TEMPLATES
     names = ["doc_id", "license", "start", "saved", "share", "differences"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(known)
+        scanner = Scanner(templates)
         for batch in batches:
             rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in scanner.scan(t)]
             if rows:

@@ -20,10 +20,13 @@ over a run of characters again from each of its places nor recurses: a match
 may begin only where a run begins or where the match before ended, and
 repetitions are possessive. This finds the same leftmost matches as the plain
 patterns. Positions are code points: a text is split at the matches, and the
-lengths of pieces and matches add up.
+lengths of pieces and matches add up. All steps work on runs of spans, so the
+time grows with the text and its spans, and not with their square.
 
 Edge cases: null and empty texts have no spans; overlapping findings of
-different kinds all stay; repeated rows get equal results; clashing result
+different kinds all stay, at equal starts in the order of kinds; a text of any
+length is searched whole; repeated rows get equal results; an empty table gives
+an empty result and the model of the prior reliabilities; clashing result
 columns are replaced and other columns kept; without candidates the prior
 reliabilities decide.
 """
@@ -31,6 +34,7 @@ reliabilities decide.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,19 +109,58 @@ ROUNDS = 40
 ACCEPT = 0.9
 
 
-def _spans(text: Column, pattern: str, quick: Column) -> Column:
-    """(start, end, match) of all matches; ``quick`` false: none."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"))
-    state = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))))).alias("spans"))
 
-    return F.when(quick, F.aggregate(parts, state, step, lambda acc: acc["spans"])).otherwise(empty)
+#: Sums, bounds and copies go over runs of so many spans (a power of two), which keeps them linear in the spans.
+_RUN_BITS = 7
+_RUN = 1 << _RUN_BITS
+
+
+def _runs(rows: Column) -> Column:
+    """An array in runs."""
+    return F.transform(F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(rows) - 1, F.lit(0)), _RUN_BITS)), lambda b: F.slice(rows, b * _RUN + 1, _RUN))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _before_runs(sizes: Column) -> Column:
+    """The sum of all sizes before each run."""
+    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    sums = F.transform(_runs(sizes), _total)
+    return F.aggregate(sums, state, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def _spans(text: Column, pattern: str, quick: Column, before: bool = False) -> Column:
+    """(start, end, match) of all matches, with ``before`` also the text just before each; ``quick`` false: none.
+
+    The text is cut at its matches. A match starts where the pieces before it
+    end: the sum before its run, and that of the few pieces in the run.
+    """
+    kind = "array<struct<start:int,end:int,match:string" + (",before:string>>" if before else ">>")
+    cut = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    pieces = lambda c: F.struct(c["match"].alias("match"), c["gap"].alias("gap"), F.transform(c["match"], lambda m, i: F.length(c["gap"][i]) + F.length(m)).alias("size"))
+
+    def placed(p: Column, sums: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            run = F.shiftright(i, _RUN_BITS)
+            start = sums[run] + _total(F.slice(p["size"], run * _RUN + 1, i - run * _RUN)) + F.length(p["gap"][i])
+            fields = [start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match")]
+            if before:
+                # a piece has five characters or more, so seven of them hold all that counts
+                first = F.greatest(i - 6, F.lit(0))
+                pairs = F.zip_with(F.slice(p["gap"], first + 1, i - first), F.slice(p["match"], first + 1, i - first), lambda g, x: F.concat(F.substring(g, -_BEFORE, _BEFORE), x))
+                fields.append(F.substring(F.concat(F.array_join(pairs, ""), p["gap"][i]), -_BEFORE, _BEFORE).alias("before"))
+            return F.struct(*fields)
+
+        return F.transform(p["match"], one)
+
+    found = _let(cut, lambda c: _let(pieces(c), lambda p: _let(_before_runs(p["size"]), lambda sums: placed(p, sums))))
+    return F.when(quick, found).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
 def _digits(match: Column) -> Column:
@@ -178,22 +221,24 @@ def candidates(docs: DataFrame, text: str = "text", base: str = "base", out: str
         quick = _QUICK[kind]
         test = body.rlike(quick) if isinstance(quick, str) else F.greatest(*(F.contains(body, F.lit(w)) for w in quick))
         names.append(f"__{kind}")
-        steps = steps.withColumn(names[-1], _spans(body, _CANDIDATES[kind], test))
+        steps = steps.withColumn(names[-1], _spans(body, _CANDIDATES[kind], test, before=True))
 
-    def apart(k: int) -> Column:
-        free = F.filter(F.col(names[k]), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.transform(free, lambda s: voted(k, s))
+    # base findings in runs with their bounds, so that a candidate meets those of few runs
+    bounds = lambda r: F.struct(F.get(r, F.lit(0))["start"].alias("low"), F.array_max(F.transform(r, lambda b: b["end"])).alias("high"), r.alias("rows"))
+    steps = steps.withColumn("__held", F.transform(_runs(F.col(base)), bounds))
 
-    def voted(k: int, s: Column) -> Column:
-        before = F.lower(F.substring(body, F.greatest(s["start"] + 1 - _BEFORE, F.lit(1)), F.least(s["start"], F.lit(_BEFORE))))
-        return F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["match"].alias("match"), before.alias("before"))
+    def apart(k: int) -> Column:
+        over = lambda s, low, high: (low < s["end"]) & (s["start"] < high)
+        hits = lambda s, runs: F.exists(runs, lambda r: over(s, r["low"], r["high"]) & F.exists(r["rows"], lambda b: over(s, b["start"], b["end"])))
+        free = F.filter(F.col(names[k]), lambda s: ~F.coalesce(hits(s, F.col("__held")), F.lit(False)))
+        return F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["match"].alias("match"), F.lower(s["before"]).alias("before")))
 
     def labelled(s: Column) -> Column:
         votes = (_vote(s["kind"], s["match"], _FOR, _AGAINST), _vote(s["kind"], s["match"], _LISTS, {}), _vote(s["kind"], s["before"], _NEAR, _AWAY))
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), *(v.cast("int").alias(n) for v, n in zip(votes, LABELERS, strict=True)))
 
     named = F.concat(*(apart(k) for k in range(len(EXTRA_KINDS))))
-    return steps.withColumn("__named", named).withColumn(out, F.transform(F.col("__named"), labelled)).drop(*names, "__named")
+    return steps.withColumn("__named", named).withColumn(out, F.transform(F.col("__named"), labelled)).drop(*names, "__named", "__held")
 
 
 @dataclass(frozen=True)
@@ -269,13 +314,23 @@ def find(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans go by the first one's kind."""
     found = find(docs, model, text)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
+    def masked_run(acc: Column, run: Column) -> Column:
+        """A run of spans on the part of the text from where the last one ended."""
+        reach = F.greatest(F.array_max(F.transform(run, lambda s: s["end"])), acc["at"])
+        part = F.struct(F.substring(F.col(text), acc["at"] + 1, reach - acc["at"]).alias("text"), acc["at"].alias("from"))
+
+        def inner(p: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                gap = F.substring(p["text"], a["at"] - p["from"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+                mark = F.when(s["start"] >= a["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, mark).alias("out"))
+
+            return F.aggregate(run, F.struct(p["from"].alias("at"), F.lit("").alias("out")), step)
+
+        return _let(_let(part, inner), lambda done: F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
-    masked = F.when(F.size("spans") > 0, F.aggregate("spans", state, step, rest)).otherwise(F.col(text))
+    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
+    masked = F.when(F.size("spans") > 0, _let(F.col("spans"), lambda spans: F.aggregate(_runs(spans), state, masked_run, rest))).otherwise(F.col(text))
     return found.withColumn(text, masked).select(*docs.columns)

@@ -4,21 +4,22 @@ A batch's text is cut into segments at the start of every run of spaces. That
 is exact because no piece of such a vocabulary holds a word mark after another
 character (checked when the model is read). Equal segments of a batch are
 merged once. All segments merge together in rounds on flat numpy arrays: the
-best pair rank of each segment by a segmented minimum, the leftmost such pair
-of every segment merged at once, then compaction of the arrays; segments in
-which no pair remains leave. One merge per segment and round keeps the order
-of the library, which matters when a merge makes a better pair possible.
-Segments of over ``LONG_SEGMENT`` characters (long unbroken strings) go
-through an agenda, since rounds would take quadratic time there.
+best pair rank of each segment by a segmented minimum, all its leftmost pairs
+of that rank merged at once, then compaction of the arrays; segments in which
+no pair remains leave. A merge that makes a pair as good as the round's own
+ends the round for its segment, for the library would take that pair next; so
+the order of merges is the library's. Long segments are first cut between
+characters that no piece has next to each other, across which nothing merges.
 
 Edge cases: null and empty texts give no ids and an empty decoded text;
 characters outside the vocabulary become byte pieces; other columns are kept;
-repeated rows give repeated results; an empty table gives an empty result.
+equal ranks merge from the left; texts and unbroken strings of any length are
+encoded whole; repeated rows give repeated results; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkernel import HASH, chunks
+from .textkernel import HASH, chunks, code_points
 
 MARK = "▁"
-#: Segments with more characters than this are merged with an agenda.
-LONG_SEGMENT = 400
+#: Segments with more characters than this are cut where nothing can merge; shorter ones aren't worth the search.
+LONG_SEGMENT = 64
 #: Bytes of text merged at once: larger pieces share more equal segments.
 CHUNK = 2 << 20
 _NONE = np.int32(2**31 - 1)
@@ -50,6 +51,7 @@ class BpeTables:
     byte_ids: np.ndarray
     piece_bytes: np.ndarray
     piece_off: np.ndarray
+    inner: np.ndarray  # sorted pairs of characters that are neighbours in a piece
     unknown: int
 
 
@@ -88,6 +90,7 @@ def read_model(path: str) -> BpeTables:
         byte_ids,
         np.frombuffer(b"".join(text), np.uint8),
         np.concatenate(([0], np.cumsum([len(x) for x in text]))),
+        np.array(sorted({plain[a] * n + plain[b] for p in plain for a, b in zip(p, p[1:], strict=False)}), np.int64),
         n,
     )
 
@@ -107,37 +110,45 @@ def _pairs(t: BpeTables, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarra
     return np.where(hit, t.ranks[at], _NONE), t.merged[at]
 
 
-def _by_agenda(t: BpeTables, sym: np.ndarray) -> np.ndarray:
-    """Positions of the symbols that remain, with their final piece in ``sym``, for one long segment."""
-    n = len(sym)
-    after, before = list(range(1, n)) + [-1], [-1, *range(n - 1)]
-    ids, alive = sym.tolist(), [True] * n
-    table: dict[tuple[int, int], tuple[int, int]] = {}
-    agenda: list[tuple[int, int, int, int, int]] = []
-
-    def look(a: int, b: int) -> None:
-        pair = (ids[a], ids[b])
-        if pair not in table:
-            rank, merged = _pairs(t, np.array([pair[0]], np.int32), np.array([pair[1]], np.int32))
-            table[pair] = (int(rank[0]), int(merged[0]))
-        rank, merged = table[pair]
-        if rank != _NONE:
-            heapq.heappush(agenda, (rank, a, b, *pair))
-
-    for i in range(n - 1):
-        look(i, i + 1)
-    while agenda:
-        _, a, b, x, y = heapq.heappop(agenda)
-        if not (alive[a] and alive[b] and after[a] == b and ids[a] == x and ids[b] == y):
-            continue
-        ids[a], alive[b], after[a] = table[(x, y)][1], False, after[b]
-        if after[b] != -1:
-            before[after[b]] = a
-            look(a, after[b])
-        if before[a] != -1:
-            look(before[a], a)
-    sym[:] = ids
-    return np.flatnonzero(alive)
+def _cut_long(t: BpeTables, sym: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """Segments, with long ones cut between characters that are neighbours in no piece."""
+    sizes = np.bincount(seg) if len(seg) else np.zeros(0, np.int64)
+    at = np.flatnonzero((sizes > LONG_SEGMENT)[seg[1:]] & (seg[1:] == seg[:-1]))
+    key = sym[at].astype(np.int64) * t.unknown + sym[at + 1]
+    known = t.inner[np.minimum(np.searchsorted(t.inner, key), len(t.inner) - 1)] == key
+    cut = np.concatenate(([0], seg[1:] != seg[:-1])).astype(np.int64) if len(seg) else np.zeros(0, np.int64)
+    cut[at[~known | (sym[at] == t.unknown) | (sym[at + 1] == t.unknown)] + 1] = 1
+    return np.cumsum(cut)
+
+
+def _together(t: BpeTables, at: np.ndarray, best: np.ndarray, cur: np.ndarray, own: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of the places of their segments' best rank those to merge in this round."""
+    if (own[at[1:]] != own[at[:-1]]).all():
+        return at
+    # of overlapping pairs every other one, from the left
+    chained = np.concatenate(([False], (at[1:] == at[:-1] + 1) & (own[at[1:]] == own[at[:-1]])))
+    start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+    at = at[(np.arange(len(at)) - start) % 2 == 0]
+    group = own[at]
+    first = np.concatenate(([True], group[1:] != group[:-1]))
+    if first.all():
+        return at
+    many = np.flatnonzero(~(first & np.append(first[1:], True)))  # in segments with several places
+    p, m = at[many], new[at[many]]
+    same = np.concatenate(([False], (p[1:] == p[:-1] + 2) & (own[p[1:]] == own[p[:-1]])))
+    left = np.where(same, np.concatenate((m[:1], m[:-1])), cur[np.maximum(p - 1, 0)])
+    has_left = (p > 0) & (own[np.maximum(p - 1, 0)] == own[p])
+    after = np.minimum(p + 2, len(cur) - 1)
+    has_right = (p + 2 < len(cur)) & (own[after] == own[p])
+    limit = best[p]
+    stops = (has_left & (_pairs(t, left, m)[0] <= limit)) | (has_right & (_pairs(t, m, cur[after])[0] <= limit))
+    if not stops.any():
+        return at
+    before = np.cumsum(stops) - stops
+    head = np.maximum.accumulate(np.where(first[many], np.arange(len(many)), 0))
+    keep = np.ones(len(at), bool)
+    keep[many[before > before[head]]] = False
+    return at[keep]
 
 
 def merge_segments(t: BpeTables, sym: np.ndarray, seg: np.ndarray) -> np.ndarray:
@@ -146,13 +157,8 @@ def merge_segments(t: BpeTables, sym: np.ndarray, seg: np.ndarray) -> np.ndarray
     ``sym`` gets the merged pieces in place; returns the kept positions in order.
     """
     done = []
-    sizes = np.bincount(seg) if len(seg) else np.zeros(0, np.int64)
-    ends = np.cumsum(sizes)
-    for k in np.flatnonzero(sizes > LONG_SEGMENT):
-        a, b = ends[k] - sizes[k], ends[k]
-        done.append(a + _by_agenda(t, sym[a:b]))
-    pos = np.flatnonzero(sizes[seg] <= LONG_SEGMENT) if len(seg) else np.zeros(0, np.int64)
-    cur, own = sym[pos], seg[pos]
+    pos = np.arange(len(sym))
+    cur, own = sym.copy(), _cut_long(t, sym, seg)
     rank = np.full(len(pos), _NONE, np.int32)
     new = np.zeros(len(pos), np.int32)
     if len(pos) > 1:
@@ -171,8 +177,8 @@ def merge_segments(t: BpeTables, sym: np.ndarray, seg: np.ndarray) -> np.ndarray
             size, best = size[best != _NONE], best[best != _NONE]
         if not len(pos):
             break
-        at = np.flatnonzero(rank == np.repeat(best, size))
-        at = at[np.concatenate(([True], own[at[1:]] != own[at[:-1]]))]
+        best = np.repeat(best, size)
+        at = _together(t, np.flatnonzero(rank == best), best, cur, own, new)
         cur[at] = new[at]
         stay = np.ones(len(pos), bool)
         stay[at + 1] = False
@@ -189,17 +195,9 @@ def merge_segments(t: BpeTables, sym: np.ndarray, seg: np.ndarray) -> np.ndarray
 
 def encode_segments(t: BpeTables, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of UTF-8 segments (spaces stand for word marks), and their offsets."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    lead, size, code = code_points(data)
     if not len(lead):
         return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-    size = np.diff(np.append(lead, len(data)))
-    code = data[lead].astype(np.int64)
-    for n, keep in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
-        rows = np.flatnonzero(size == n)
-        value = code[rows] & keep
-        for k in range(1, n):
-            value = (value << 6) | (data[lead[rows] + k] & 0x3F)
-        code[rows] = value
     at = np.minimum(np.searchsorted(t.chars, code), len(t.chars) - 1)
     sym = np.where(t.chars[at] == code, t.char_ids[at], t.unknown).astype(np.int32)
     seg = np.searchsorted(off, lead, "right") - 1

@@ -9,6 +9,8 @@ multi-byte UTF-8 sequence, hence byte positions are safe word bounds.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,8 +26,8 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: `[^\x20\x09-\x0D]+`
 WORD_CLASS = ~_WHITE
-#: letters, digits and every non-ASCII byte
-ALNUM_CLASS = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+#: ASCII letters and digits
+ALNUM_CLASS = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER_AZ = IDENTITY.copy()
 LOWER_AZ[65:91] += 32
@@ -164,13 +166,66 @@ def words_of(data: np.ndarray, off: np.ndarray, klass: np.ndarray = WORD_CLASS,
     return Words(start, end, hasher.spans(data if fold is None else fold[data], start, end), first)
 
 
-def fold_latin(data: np.ndarray) -> np.ndarray:
-    """Lower-case A-Z and the accented capitals of Latin-1 (two-byte sequences led by 0xC3)."""
-    out = LOWER_AZ[data]
-    after = np.flatnonzero(data[:-1] == 0xC3) + 1
-    after = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
-    out[after] += 32
-    return out
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, number of bytes and value of each character of UTF-8 text."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(lead, len(data)))
+    code = data[lead].astype(np.int64)
+    for n, keep in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+        rows = np.flatnonzero(size == n)
+        value = code[rows] & keep
+        for k in range(1, n):
+            value = (value << 6) | (data[lead[rows] + k] & 0x3F)
+        code[rows] = value
+    return lead, size, code
+
+
+#: Scripts written without spaces, whose characters are tokens each, as ranges of code points.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+@functools.cache
+def character_table() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: 0 between tokens, 1 within them, 2 a token of its own; and its lower case where that is one character."""
+    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.int64)
+    for c in (*range(0xD800), *range(0xE000, 0x110000)):
+        x = chr(c)
+        if x.isalnum() or (c > 0x2FF and unicodedata.category(x)[0] == "M"):
+            kind[c] = 1
+            if len(x.lower()) == 1:
+                lower[c] = ord(x.lower())
+    for a, b in UNSPACED:
+        kind[a : b + 1][kind[a : b + 1] > 0] = 2
+    return kind, lower
+
+
+def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identities of the tokens of a chunk, in lower case, and the first one of each document.
+
+    A token is a run of letters, digits and marks of any script, or one
+    character of a script that is written without spaces.
+    """
+    folded = LOWER_AZ[data]
+    if not (data >= 0x80).any():
+        start, end, first = find_words(data, off, ALNUM_CLASS)
+        return HASH.spans(folded, start, end), first
+    table, lower = character_table()
+    lead, size, code = code_points(data)
+    kind, small = table[code], lower[code]
+    changed = np.flatnonzero((small != code) & (code >= 0x80))
+    for n, low, high, mark in ((2, 0x80, 0x7FF, 0xC0), (3, 0x800, 0xFFFF, 0xE0)):
+        rows = changed[(size[changed] == n) & (small[changed] >= low) & (small[changed] <= high)]
+        for k in range(n):
+            bits = small[rows] >> (6 * (n - 1 - k))
+            folded[lead[rows] + k] = (bits | mark) if k == 0 else (bits & 0x3F | 0x80)
+    head = np.zeros(len(lead) + 1, bool)  # characters at which a document begins
+    head[np.searchsorted(lead, off)] = True
+    cut = head.copy()
+    cut[1:-1] |= (kind[1:] != 1) | (kind[:-1] != 1)
+    begins, ends = (kind > 0) & cut[:-1], (kind > 0) & cut[1:]
+    ends[-1:] = kind[-1:] > 0
+    start = lead[begins]
+    return HASH.spans(folded, start, (lead + size)[ends]), np.searchsorted(start, off)
 
 
 def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

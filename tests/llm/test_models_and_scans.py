@@ -124,8 +124,9 @@ def test_archives_round_trip_and_audit(spark, tmp_path):
 def test_root_changes_with_any_record(spark):
     a = warc.layout(warc.to_records(pages(spark, [(k, "u", "x") for k in range(40)])))
     b = warc.layout(warc.to_records(pages(spark, [(k, "u", "y" if k == 33 else "x") for k in range(40)])))
-    roots = [warc.tree(t)[-1].first().hash for t in (a, b)]
-    assert roots[0] != roots[1] and [r.idx for r in warc.differing_leaves(a, b).collect()] == [33]
+    trees = [warc.tree(t) for t in (a, b)]
+    roots = [t[-1].first().hash for t in trees]
+    assert roots[0] != roots[1] and [r.idx for r in warc.differing_leaves(*trees).collect()] == [33]
 
 
 # --- contamination

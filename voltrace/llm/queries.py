@@ -92,12 +92,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixity audit of the archives of all pages against a replica with planted faults.
 
     In the replica, pages whose id leaves 13 by 97 have a changed last
-    character, and those whose id leaves 500 by 1009 are lost.
+    character, and those whose id leaves 100 by 211 are lost, so records
+    behind them in the archive are moved.
     """
     pages = _read(spark, sf_dir, "pages")
     a = warc.layout(warc.to_records(pages))
     changed = F.concat(F.expr("substring(html, 1, length(html) - 1)"), F.lit("~"))
-    replica = pages.where(F.coalesce(F.col("page_id") % 1009 != 500, F.lit(True))).withColumn("html", F.when((F.col("page_id") % 97 == 13) & (F.length("html") > 0), changed).otherwise(F.col("html")))
+    replica = pages.where(F.coalesce(F.col("page_id") % 211 != 100, F.lit(True))).withColumn("html", F.when((F.col("page_id") % 97 == 13) & (F.length("html") > 0), changed).otherwise(F.col("html")))
     return warc.audit(a, warc.layout(warc.to_records(replica))).select("page_id", "archive", "seq", "offset", "length", "digest", "status", "root")
 
 
@@ -112,14 +113,14 @@ WITH p AS (
 ), l AS (
   SELECT *, sha256(record) AS digest, octet_length(encode(record)) AS length, row_number() OVER w - 1 AS seq,
     coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    coalesce(sum(CASE WHEN page_id % 1009 = 500 THEN 1 ELSE 0 END) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost
+    coalesce(sum(CASE WHEN page_id % 211 = 100 THEN 1 ELSE 0 END) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost
   FROM r WINDOW w AS (PARTITION BY archive ORDER BY page_id)
 ), t0 AS (SELECT archive, seq, sha256(start::BIGINT || ':' || length || ':' || digest) AS h FROM l),
 t1 AS (SELECT archive, seq // 16 AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM t0 GROUP BY archive, seq // 16),
 t2 AS (SELECT archive, seq // 16 AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM t1 GROUP BY archive, seq // 16),
 t3 AS (SELECT archive, sha256(string_agg(h, '' ORDER BY seq)) AS root FROM t2 GROUP BY archive)
 SELECT page_id, l.archive, CAST(seq AS BIGINT) AS seq, CAST(start AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, digest,
-  CASE WHEN page_id % 1009 = 500 THEN 'missing' WHEN page_id % 97 = 13 AND html <> '' THEN 'corrupt' WHEN lost > 0 THEN 'moved' ELSE 'ok' END AS status, root
+  CASE WHEN page_id % 211 = 100 THEN 'missing' WHEN page_id % 97 = 13 AND html <> '' THEN 'corrupt' WHEN lost > 0 THEN 'moved' ELSE 'ok' END AS status, root
 FROM l JOIN t3 ON l.archive = t3.archive
 """
 

@@ -70,26 +70,33 @@ def layout(records: DataFrame) -> DataFrame:
 
 
 def tree(places: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
-    """Levels of (archive, part, idx, hash, offset, end), leaves first, roots last."""
+    """Levels of (archive, part, idx, hash, offset, end), leaves first, roots last; each above the leaves is a table made once from the one below."""
     leaf = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), F.col("digest")).cast("binary"), 256)
     out = [places.select("archive", "part", F.col("seq").alias("idx"), leaf.alias("hash"), "offset", (F.col("offset") + F.col("length")).alias("end"))]
     for level in range(levels):
         children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda c: c["hash"]), "")
         # the last level takes all that is left, so that an archive of any size has one root
         group = F.lit(0).cast("long") if level == levels - 1 else F.floor(F.col("idx") / FANOUT).cast("long")
-        out.append(out[-1].groupBy("archive", "part", group.alias("up")).agg(F.sha2(children.cast("binary"), 256).alias("hash"), F.min("offset").alias("offset"), F.max("end").alias("end")).withColumnRenamed("up", "idx"))
+        out.append(durable(out[-1].groupBy("archive", "part", group.alias("up")).agg(F.sha2(children.cast("binary"), 256).alias("hash"), F.min("offset").alias("offset"), F.max("end").alias("end")).withColumnRenamed("up", "idx")))
     return out
 
 
-def differing_leaves(a: DataFrame, b: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(archive, part, idx) of leaves that differ between two replicas' layouts, found from the roots down."""
-    top = None
-    for level, (x, y) in reversed(list(enumerate(zip(tree(a, levels), tree(b, levels), strict=True)))):
+def differing_leaves(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
+    """(archive, part, idx) of leaves that differ between two replicas' trees, found from the roots down.
+
+    Below the roots a level is read only under nodes that differ; the nodes
+    found are a table before the next level is opened, and without any the
+    descent ends.
+    """
+    top, levels = None, len(a) - 1
+    for level, (x, y) in reversed(list(enumerate(zip(a, b, strict=True)))):
         up = F.lit(0).cast("long") if level == levels - 1 else F.floor(F.col("idx") / FANOUT).cast("long")
         if top is not None:  # only children of nodes that differ
             x, y = (z.withColumn("up", up).join(top, ["archive", "part", "up"], "left_semi") for z in (x, y))
         x, y = x.select("archive", "part", "idx", F.col("hash").alias("h1")), y.select("archive", "part", "idx", F.col("hash").alias("h2"))
-        bad = x.join(y, ["archive", "part", "idx"], "full").where(~F.col("h1").eqNullSafe(F.col("h2"))).select("archive", "part", "idx")
+        bad = durable(x.join(y, ["archive", "part", "idx"], "full").where(~F.col("h1").eqNullSafe(F.col("h2"))).select("archive", "part", "idx"))
+        if bad.isEmpty():
+            return bad
         top = bad.withColumnRenamed("idx", "up") if level else bad
     return top
 
@@ -102,20 +109,22 @@ def audit(a: DataFrame, b: DataFrame, levels: int = LEVELS) -> DataFrame:
     """
     # layouts are small beside the pages; kept, every level of the trees starts from them and not from the pages
     a, b = durable(a), durable(b)
-    bad = durable(differing_leaves(a, b, levels))
+    mine_tree, other_tree = tree(a, levels), tree(b, levels)
+    bad = differing_leaves(mine_tree, other_tree)
+    some = bad.select("archive", "part").distinct()
     key = ["archive", "part", "page_id", "copy"]
     rank = F.row_number().over(Window.partitionBy("archive", "part", "page_id").orderBy("seq")).alias("copy")
-    own = a.select("*", rank)
-    left = own.join(bad.withColumnRenamed("idx", "seq"), ["archive", "part", "seq"], "left_semi").select(*(F.col(c).alias(f"a_{c}") for c in key), F.col("digest").alias("a_digest"))
-    right = b.select("*", rank).join(bad.withColumnRenamed("idx", "seq"), ["archive", "part", "seq"], "left_semi").select(*key, "seq", "offset", "length", "digest")
+    # only archives that differ have their records ranked among equal ids
+    left = a.join(some, ["archive", "part"], "left_semi").select("*", rank).join(bad.withColumnRenamed("idx", "seq"), ["archive", "part", "seq"], "left_semi").select(*(F.col(c).alias(f"a_{c}") for c in (*key, "seq", "digest")))
+    right = b.join(some, ["archive", "part"], "left_semi").select("*", rank).join(bad.withColumnRenamed("idx", "seq"), ["archive", "part", "seq"], "left_semi").select(*key, "seq", "offset", "length", "digest")
     same = (F.col("archive") == F.col("a_archive")) & (F.col("part") == F.col("a_part")) & F.col("page_id").eqNullSafe(F.col("a_page_id")) & (F.col("copy") == F.col("a_copy"))
     both = left.join(right, same, "full")
     status = F.when(F.col("archive").isNull(), "missing").when(F.col("a_archive").isNull(), "extra").when(F.col("digest") != F.col("a_digest"), "corrupt").otherwise("moved")
     found = both.withColumn("status", status)
-    roots = tree(a, levels)[-1].select("archive", "part", F.col("hash").alias("root"))
-    mine = found.where("status <> 'extra'").select(F.col("a_archive").alias("archive"), F.col("a_part").alias("part"), F.col("a_page_id").alias("__id"), F.col("a_copy").alias("copy"), "status")
-    on = (own["archive"] == mine["archive"]) & (own["part"] == mine["part"]) & own["page_id"].eqNullSafe(mine["__id"]) & (own["copy"] == mine["copy"])
-    kept = own.join(mine, on, "left").select(own["archive"], own["part"], own["page_id"], own["seq"], own["offset"], own["length"], own["digest"], F.coalesce(mine["status"], F.lit("ok")).alias("status"))
+    roots = mine_tree[-1].select("archive", "part", F.col("hash").alias("root"))
+    # a record is told by its place in its archive
+    mine = found.where("status <> 'extra'").select(F.col("a_archive").alias("archive"), F.col("a_part").alias("part"), F.col("a_seq").alias("seq"), "status")
+    kept = a.join(mine, ["archive", "part", "seq"], "left").select("archive", "part", "page_id", "seq", "offset", "length", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
     extra = found.where("status = 'extra'").select("archive", "part", "page_id", "seq", "offset", "length", "digest", "status")
     return kept.unionByName(extra).join(roots, ["archive", "part"], "left")
 

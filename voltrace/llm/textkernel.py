@@ -9,9 +9,10 @@ multi-byte UTF-8 sequence, hence byte positions are safe word bounds.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -123,6 +124,34 @@ HASH = Hasher(20240501)
 HASH_2 = Hasher(77003311)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _trim() -> None:
+    """Have the C library give free memory back to the system, where it can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``; at the end of a task its memory goes back to the system.
+
+    A worker is used again by later tasks and waits while the JVM works; what
+    it kept of its last task would count against the executor all the while.
+    """
+
+    def tidy(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return tidy
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and document offsets of a string array; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -187,7 +216,7 @@ UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FD
 @functools.cache
 def character_table() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: 0 between tokens, 1 within them, 2 a token of its own; and its lower case where that is one character."""
-    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.int64)
+    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.int32)
     for c in (*range(0xD800), *range(0xE000, 0x110000)):
         x = chr(c)
         if x.isalnum() or (c > 0x2FF and unicodedata.category(x)[0] == "M"):
@@ -211,7 +240,7 @@ def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return HASH.spans(folded, start, end), first
     table, lower = character_table()
     lead, size, code = code_points(data)
-    kind, small = table[code], lower[code]
+    kind, small = table[code], lower[code].astype(np.int64)
     changed = np.flatnonzero((small != code) & (code >= 0x80))
     for n, low, high, mark in ((2, 0x80, 0x7FF, 0xC0), (3, 0x800, 0xFFFF, 0xE0)):
         rows = changed[(size[changed] == n) & (small[changed] >= low) & (small[changed] <= high)]

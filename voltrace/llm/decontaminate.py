@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import chunks, mix, released, text_bytes, tokens_of
+from .textkernel import batchwise, chunks, mix, text_bytes, tokens_of
 
 #: Fixed masks, with the sizes of items that they serve. Of tokens of which a
 #: share of 0.8 agrees, the first and last among them, three in a row do from
@@ -173,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toArrow()
         held = spark.sparkContext.broadcast(build_table(block.column("id").to_pylist(), block.column("text").to_pylist()))
-        found = source.mapInArrow(released(_scan(held)), "doc_id long, item_id long, first_token long, end_token long, n_equal long, n_item long")
+        found = source.transform(batchwise, _scan(held), "doc_id long, item_id long, first_token long, end_token long, n_equal long, n_item long")
         out = found if out is None else out.unionAll(found)
     return out.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})
 
@@ -204,7 +204,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toArrow()
         held = spark.sparkContext.broadcast(build_table(block.column("id").to_pylist(), block.column("text").to_pylist()))
-        found = found.mapInArrow(released(_keep(held, text)), docs.schema)
+        found = found.transform(batchwise, _keep(held, text), docs.schema)
     return found
 
 

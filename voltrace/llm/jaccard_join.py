@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import connected_components, durable
-from .textkernel import HASH, HASH_2, LOWER_AZ, as_long, chunks, mix, released, window_starts, words_of
+from .textkernel import HASH, HASH_2, LOWER_AZ, as_long, batchwise, chunks, mix, window_starts, words_of
 
 SIZE = 5
 PERCENT = 80
@@ -155,7 +155,7 @@ def _index(known: DataFrame, cells: sketch.Cells, size: int, percent: int) -> Da
                 if len(tok):
                     yield pa.RecordBatch.from_arrays([as_long(tok), pa.array(place, pa.int64()), pa.array(n[j], pa.int64()), *(pa.nulls(len(j), pa.int64()),) * 2, as_long(g1[j]), as_long(g2[j]), pa.array(np.ones(len(j), bool))], names)
 
-    return known.select("rows", "levels").mapInArrow(released(run), "x long, y long, n long, s1 long, s2 long, g1 long, g2 long, entry boolean")
+    return known.select("rows", "levels").transform(batchwise, run, "x long, y long, n long, s1 long, s2 long, g1 long, g2 long, entry boolean")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, pe
                 keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return durable(both.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a long, b long"))
+    return durable(both.select("a", "b", "text_a", "text_b").transform(batchwise, run, "a long, b long"))
 
 
 def _close(percent: int, n_a: str, n_b: str, pos_a: str, pos_b: str) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import mix, released
+from .textkernel import batchwise, mix
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, text: str = "t
                     docs_of = sum(x == name for x in names)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(n[at], docs_of), pa.int64())], ["lang", "bucket", "n"])
 
-    rows = chosen.select(text, lang).mapInArrow(released(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = chosen.select(text, lang).transform(batchwise, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = rows.column("lang").to_pylist()
     languages = sorted(set(names))
     where = np.array([languages.index(x) for x in names], np.int64)
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", drop_text
                 names, score = score_texts(held.value, texts)
                 yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index(c)) for c in rest] + [pa.array(names, pa.string()), pa.array(score, pa.float64())], [*rest, "lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*rest, text])).mapInArrow(released(run), schema)
+    return docs.select(*dict.fromkeys([*rest, text])).transform(batchwise, run, schema)
 
 
 def remainder(doc_id: str, divisor: int) -> Column:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import released
+from .textkernel import batchwise
 
 #: Identifiers of well-known licences and the wording of their short notices and main clauses.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -277,4 +277,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     low = F.lower(F.col(text))
     has = [F.contains(low, F.lit(c.split()[-1])) & (low.rlike(p) if " " in c else F.lit(True)) for c, p in _CUE_PATTERNS.items()]
     cued = docs.where(F.greatest(*has))
-    return cued.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run), "doc_id long, license string, start long, saved double, share double, differences array<string>").withColumnRenamed("doc_id", doc_id)
+    return cued.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(batchwise, run, "doc_id long, license string, start long, saved double, share double, differences array<string>").withColumnRenamed("doc_id", doc_id)

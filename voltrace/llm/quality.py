@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import HASH, chunks, released, window_starts, words_of
+from .textkernel import HASH, batchwise, chunks, window_starts, words_of
 
 FIT_ROWS = 20_000
 BINS = 48
@@ -231,7 +231,7 @@ def _featured(docs: DataFrame, rest: list[str], text: str) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(piece.column(piece.schema.get_field_index(c)) for c in rest), flat], [*rest, "features"])
 
-    return docs.select(*rest, text).mapInArrow(released(run), schema)
+    return docs.select(*rest, text).transform(batchwise, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS, text: str = "text", doc_id: str = "doc_id") -> AdditiveModel:
@@ -256,4 +256,4 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFram
             for piece, data, off in chunks(batch, text):
                 yield pa.RecordBatch.from_arrays([*(piece.column(piece.schema.get_field_index(c)) for c in rest), pa.array(held.value.score(features(data, off)))], [*rest, "score"])
 
-    return docs.select(*rest, text).mapInArrow(released(run), schema)
+    return docs.select(*rest, text).transform(batchwise, run, schema)

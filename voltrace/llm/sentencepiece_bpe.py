@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkernel import HASH, chunks, code_points, released
+from .textkernel import HASH, batchwise, chunks, code_points
 
 MARK = "▁"
 #: Segments with more characters than this are cut where nothing can merge; shorter ones aren't worth the search.
@@ -273,4 +273,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
                 arrays += [pa.ListArray.from_arrays(pa.array(got_off, pa.int32()), pa.array(got, pa.int32())), pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(out_off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out)))]
                 yield pa.RecordBatch.from_arrays(arrays, [*rest, ids, decoded])
 
-    return docs.select(*rest, text).mapInArrow(released(run), schema)
+    return docs.select(*rest, text).transform(batchwise, run, schema)

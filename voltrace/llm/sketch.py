@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import durable
-from .textkernel import chunks, released
+from .textkernel import batchwise, chunks
 
 #: Text of a block; one longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -81,7 +81,7 @@ def pack(rows: DataFrame, text: str) -> DataFrame:
         if held:
             yield out()
 
-    return durable(rows.mapInArrow(released(run), "block long, size long, rows binary"))
+    return durable(rows.transform(batchwise, run, "block long, size long, rows binary"))
 
 
 def volume(blocks: DataFrame) -> int:
@@ -228,8 +228,8 @@ def estimates(blocks: DataFrame, identities: Callable[[pa.RecordBatch], np.ndarr
             for block, levels in merge_range(cells, messages):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([squeeze.compress(levels)], pa.binary())], ["block", "part", "levels"])
 
-    messages = blocks.select("block", "rows").mapInArrow(released(sketch), "part long, block long, cells binary, again binary, counts binary")
-    replies = messages.repartition("part").sortWithinPartitions("part").mapInArrow(released(merge), "block long, part long, levels binary")
+    messages = blocks.select("block", "rows").transform(batchwise, sketch, "part long, block long, cells binary, again binary, counts binary")
+    replies = messages.repartition("part").sortWithinPartitions("part").transform(batchwise, merge, "block long, part long, levels binary")
     return replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("levels"))
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import sketch
 from .sentencepiece_bpe import take_runs
-from .textkernel import HASH, HASH_2, Words, chunks, find_words, released, window_starts
+from .textkernel import HASH, HASH_2, Words, batchwise, chunks, find_words, window_starts
 
 SIZE = 13
 #: Names of the text and the id within a block.
@@ -149,8 +149,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id
             found = list(group_exactly(messages))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([part] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], ["block", "part", "bits"])
 
-    sent = known.mapInArrow(released(candidates), "part long, block long, h1 binary, h2 binary, docs binary, which binary").repartition("part").sortWithinPartitions("part")
-    answers = sent.mapInArrow(released(answer), "block long, part long, bits binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("answers"))
+    sent = known.transform(batchwise, candidates, "part long, block long, h1 binary, h2 binary, docs binary, which binary").repartition("part").sortWithinPartitions("part")
+    answers = sent.transform(batchwise, answer, "block long, part long, bits binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("answers"))
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("kept", T.StringType(), False)])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id
                     yield without(piece, data, w, gone[base : base + len(w.start)], rest, names)
                     base += len(w.start)
 
-    return known.join(answers, "block", "left").select("rows", "levels", "answers").mapInArrow(released(drop), schema)
+    return known.join(answers, "block", "left").select("rows", "levels", "answers").transform(batchwise, drop, schema)
 
 
 def covered(s: Scan, e: Entries, part_bits: int, answers: list[dict], size: int) -> np.ndarray:

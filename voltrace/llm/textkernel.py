@@ -18,9 +18,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once, which need about 60 times as much memory; one longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python, and the setting that bounds them.
+BATCH_BYTES, BATCH_LIMIT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -135,12 +139,18 @@ def _trim() -> None:
         pass
 
 
-def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``run`` for ``mapInArrow``; at the end of a task its memory goes back to the system.
+def batchwise(df: DataFrame, run: Callable[[Batches], Batches], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with bounded memory.
 
-    A worker is used again by later tasks and waits while the JVM works; what
-    it kept of its last task would count against the executor all the while.
+    Batches are bounded in bytes, not only in rows, as texts differ much in
+    length (a limit set in the session stays). At the end of a task its memory
+    goes back to the system: a worker is used again by later tasks and waits
+    while the JVM works, and what it kept of its last task would count against
+    the executor all the while.
     """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT, None) is None:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
 
     def tidy(batches: Batches) -> Batches:
         try:
@@ -149,7 +159,7 @@ def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
             pa.default_memory_pool().release_unused()
             _trim()
 
-    return tidy
+    return df.mapInArrow(tidy, schema)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

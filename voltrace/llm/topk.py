@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import durable
-from .textkernel import released
+from .textkernel import batchwise
 
 #: Rows of a candidate block and of a query block.
 BLOCK = 16_384
@@ -89,7 +89,7 @@ def _packed(rows: DataFrame, dim: int, most: int) -> DataFrame:
         if held:
             yield block()
 
-    return rows.select("id", "x", "norm").mapInArrow(released(pack), "block long, ids binary, data binary, norm double")
+    return rows.select("id", "x", "norm").transform(batchwise, pack, "block long, ids binary, data binary, norm double")
 
 
 def _rotation(rows: DataFrame, dim: int, fit_rows: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ve
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([bar.tobytes()], pa.binary()), pa.array([need], pa.float64()), *lists], ["q_block", "q_bar", "need", "query_id", "vec_id", "score"])
 
     shape = queries.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    first = durable(shape.crossJoin(F.broadcast(front.select("ids", "data"))).mapInArrow(released(begin), "q_block long, q_bar binary, need double, query_id array<long>, vec_id array<long>, score array<long>"))
+    first = durable(shape.crossJoin(F.broadcast(front.select("ids", "data"))).transform(batchwise, begin, "q_block long, q_bar binary, need double, query_id array<long>, vec_id array<long>, score array<long>"))
     found = first.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("r")).select("r.*")
 
     # then each block that can still help a block of queries
@@ -187,7 +187,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ve
                 q_ids, at, ids, score = _meet(batch, row, _column(batch, "q_bar", row, np.float64), dim, rotation.value, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q_ids[at], ids, score)], ["query_id", "vec_id", "score"])
 
-    rest = met.select("q_ids", "q_data", "q_bar", "ids", "data").mapInArrow(released(go_on), "query_id long, vec_id long, score long")
+    rest = met.select("q_ids", "q_data", "q_bar", "ids", "data").transform(batchwise, go_on, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

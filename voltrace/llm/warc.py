@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import durable
-from .textkernel import released
+from .textkernel import batchwise
 
 #: Ids of an archive.
 SPAN = 1024
@@ -179,4 +179,4 @@ def read_archives(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["path", "offset", "url", "html"])
 
-    return files.select("path", "content").mapInArrow(released(run), "path string, offset long, url string, html string")
+    return files.select("path", "content").transform(batchwise, run, "path string, offset long, url string, html string")

@@ -245,3 +245,26 @@ def test_kept_digest_is_of_the_kept_text(spark, docs):
 
     got = substring_dedup.remove_repeats(docs([(1, "a  b\tc")])).select(F.sha2(F.col("kept").cast("binary"), 256).alias("h")).first()
     assert got.h == hashlib.sha256(b"a b c").hexdigest() and "op5_substring_dedup" in queries.QUERIES
+
+
+def test_arrow_batches_are_bounded_in_bytes_and_a_set_limit_stays(spark):
+    texts = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    limit = textkernel.BATCH_LIMIT
+    before = spark.conf.get(limit, None)
+    try:
+        spark.conf.unset(limit)
+        n = [r.n for r in texts.transform(textkernel.batchwise, sizes, "n long").collect()]
+        assert sum(n) == 40 and max(n) <= textkernel.BATCH_BYTES // 1_000_000 + 1
+        spark.conf.set(limit, "2m")
+        n = [r.n for r in texts.transform(textkernel.batchwise, sizes, "n long").collect()]
+        assert sum(n) == 40 and max(n) <= 3 and spark.conf.get(limit) == "2m"
+    finally:
+        if before is None:
+            spark.conf.unset(limit)
+        else:
+            spark.conf.set(limit, before)
